@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 import brute
 from billrate.plans import blocking
-from billrate.plans.matching import best_match, item_texts, quota_texts, scored_pairs
+from billrate.plans.matching import (
+    best_match,
+    item_texts,
+    leading_pairs,
+    quota_texts,
+    scored_pairs,
+)
 
 WORDS = [
     "摄像机", "摄像头", "录像机", "NVR", "nvr", "网络硬盘录像机", "监控", "热成像", "抓拍", "普通",
@@ -35,7 +41,7 @@ def _frames(spark, items, quotas):
 
 def _check(spark, items, quotas, early):
     left, right = _frames(spark, items, quotas)
-    winners = best_match(scored_pairs(left, right), early)
+    winners = best_match(leading_pairs(left, right, early), early)
     got = {
         (r["n"], r["f"]): (r["qid"], r["score"])
         for r in left.join(winners, "tid").select(
