@@ -14,6 +14,7 @@ MIN_MANUAL = 5
 RULE_CONFIDENCE = 0.7
 GROUP_SHARE = 0.6
 BACKFILL_SCORE = 0.5
+COPY_SHARES = 256
 
 
 def learning_pairs(items: DataFrame, item_quotas: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -61,11 +62,15 @@ def collect_match_records(pairs: DataFrame, now: str) -> DataFrame:
     """One learning record per matched pair.
 
     Equal pairs share their texts, so keywords are worked out once per
-    distinct pair and expanded again.
+    distinct pair and expanded again; a pair with very many copies is counted
+    and expanded in ``COPY_SHARES`` shares.
     """
     texts = ["item_name", "item_feature_value", "quota_name", "quota_feature_value"]
-    counted = pairs.groupBy(*texts, "match_type", "match_score").agg(
-        F.count(F.lit(1)).alias("copies")
+    share = F.pmod(F.spark_partition_id(), F.lit(COPY_SHARES))
+    counted = (
+        pairs.withColumn("_share", share)
+        .groupBy(*texts, "match_type", "match_score", "_share")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
     lists = (
         counted.withColumn("item_keywords", _both(texts[0], texts[1]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_together(**frames: DataFrame) -> list[DataFrame]:
+    """Stage several independent tables at the same time."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        jobs = [pool.submit(stage, df, label.replace("_", "-")) for label, df in frames.items()]
+        return [job.result() for job in jobs]
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint for a staged table whose counted rows are few.
 
