@@ -40,7 +40,7 @@ def parse_replacements(c: Column) -> Column:
 def render_template(text: Column, replacements: Column) -> Column:
     """Replace every key in key order, one after another."""
     return F.aggregate(
-        F.array_sort(F.map_entries(replacements)), text,
+        F.sort_array(F.map_entries(replacements)), text,
         lambda acc, e: F.replace(acc, e["key"], e["value"]),
     )
 

@@ -7,6 +7,8 @@ for very long texts.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ STOP_WORDS = ["kg", "mm", "cm", "dm", "km", "包括", "包含"]
 CONFLICT_TYPES = ["热成像", "抓拍", "普通"]
 PART_MIN, PART_MAX = 2, 20
 
+BLANKS = "".join(map(chr, range(33)))
 HAN = r"\x{4E00}-\x{9FA5}"
 
 
@@ -32,7 +35,7 @@ def _lit_array(words: list[str]) -> Column:
 
 def jtrim(c: Column) -> Column:
     """Strip every leading and trailing character up to U+0020."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -41,10 +44,11 @@ def is_blank(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Squeeze spaces; drop brackets, counted units and digits."""
-    out = F.regexp_replace(jtrim(c), r"[\s\p{Z}]+", " ")
+    # Single plain spaces are left alone, so only real changes cost anything.
+    out = F.regexp_replace(jtrim(c), r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " ")
     out = F.regexp_replace(out, r"[（）()【】\[\]《》<>]", "")
-    out = F.regexp_replace(out, r"\d+[路块个套台TGMK]+", "")
-    return F.regexp_replace(out, r"\d+", "")
+    # A number goes with the unit letters right after it, if there are any.
+    return F.regexp_replace(out, r"\d+[路块个套台TGMK]*", "")
 
 
 def split_parts(cleaned: Column) -> Column:
@@ -57,8 +61,9 @@ def split_parts(cleaned: Column) -> Column:
         F.split(cleaned, r"[\s\p{Punct}\d]+"),
         lambda p: F.char_length(p).between(PART_MIN, PART_MAX),
     )
-    letters = F.transform(
-        parts, lambda p: F.regexp_replace(p, f"[^{HAN}A-Za-z]", "")
+    # Parts hold no line feed, so one pass over the joined parts serves all.
+    letters = F.split(
+        F.regexp_replace(F.array_join(parts, "\n"), f"[^{HAN}A-Za-z\n]", ""), "\n"
     )
     return F.filter(letters, lambda p: F.char_length(p) >= PART_MIN)
 
@@ -78,8 +83,14 @@ def core_concepts(c: Column) -> Column:
     return F.concat(found, F.coalesce(nvr, F.array().cast("array<string>")))
 
 
+# The one Latin core word counts in any case.
+CORE_FORMS = CORE_CONCEPTS + sorted(
+    {"".join(p) for p in itertools.product("Nn", "Vv", "Rr")} - {"NVR"}
+)
+
+
 def is_core(k: Column) -> Column:
-    return k.isin(CORE_CONCEPTS) | (F.upper(k) == "NVR")
+    return k.isin(CORE_FORMS)
 
 
 def let(value: Column, body) -> Column:
@@ -93,18 +104,16 @@ def keyword_set(c: Column) -> Column:
         clean_text(c), lambda cleaned: F.concat(split_parts(cleaned), han_ngrams(cleaned))
     )
     words = F.concat(words, core_concepts(c))
-    kept = F.array_distinct(F.array_except(words, _lit_array(STOP_WORDS)))
+    kept = F.array_except(words, _lit_array(STOP_WORDS))  # also removes repeats
     return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(kept)
 
 
 def sort_keywords(arr: Column) -> Column:
     """Core words first, then longer first, then code order."""
-    keyed = F.transform(arr, lambda k: F.concat(
-        F.when(is_core(k), F.lit("0")).otherwise(F.lit("1")),
-        F.lpad((F.lit(999) - F.char_length(k)).cast("string"), 3, "0"),
-        k,
+    keyed = F.transform(arr, lambda k: F.struct(
+        (~is_core(k)).alias("plain"), (-F.char_length(k)).alias("size"), k.alias("k")
     ))
-    return F.transform(F.array_sort(keyed), lambda k: F.substring(k, 5, 999))
+    return F.transform(F.sort_array(keyed), lambda s: s["k"])
 
 
 def extract_keywords(c: Column) -> Column:

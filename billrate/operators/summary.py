@@ -36,7 +36,7 @@ def quota_lists(item_quotas: DataFrame) -> DataFrame:
         "quota_feature_value", "unit_price",
     )
     return item_quotas.groupBy(F.col("project_item_id").alias("item_id")).agg(
-        F.array_sort(F.collect_list(link)).alias("links")
+        F.sort_array(F.collect_list(link)).alias("links")
     )
 
 

@@ -181,7 +181,7 @@ def discover_synonyms(records: DataFrame, rules: DataFrame, now: str | None = No
     values = (
         named.join(found, ["quota_key", "keyword"])
         .groupBy("keyword", "confidence")
-        .agg(F.array_sort(F.collect_list(F.coalesce("item_name", null))).alias("rule_value"))
+        .agg(F.sort_array(F.collect_list(F.coalesce("item_name", null))).alias("rule_value"))
     )
     return conform(
         values, RULE_FIELDS, rule_type=F.lit("synonym"), source_text=F.col("keyword"),

@@ -19,7 +19,7 @@ from billrate.operators import summary as SM
 from billrate.plans import learning as LN
 from billrate.plans import matching as MA
 from billrate.plans.templates import render_batch
-from billrate.session import staging_root
+from billrate.session import stage, staging_root
 from billrate.sources import imports as IM
 from billrate.sources import reports as RP
 from billrate.sources import trade_tables as TT
@@ -64,10 +64,7 @@ def match_items_exhaustive(spark, sf):
 
 def _weights(spark, sf):
     """Keyword weights learned from the settled bill."""
-    records = LN.backfill_records(
-        IN.settled_items(spark, sf), IN.item_quotas(spark, sf), TT.quotas(spark, sf), IN.NOW
-    )
-    return LN.keyword_weights(records, now=IN.NOW)
+    return LN.keyword_weights(_records(spark, sf), now=IN.NOW)
 
 
 @query
@@ -124,7 +121,7 @@ def extract_keywords_zh(spark, sf):
 @query
 def han_ngrams(spark, sf):
     q = TT.quotas(spark, sf, zh=True)
-    grams = F.array_sort(F.array_distinct(T.han_ngrams(F.col("quota_name"))))
+    grams = F.sort_array(F.array_distinct(T.han_ngrams(F.col("quota_name"))))
     return q.select("id", F.array_join(grams, "|").alias("grams"))
 
 
@@ -417,8 +414,9 @@ def newest_versions(spark, sf):
 
 
 def _records(spark, sf):
+    """The stored learning records; learning reads them several times."""
     items, links = _base(spark, sf)
-    return LN.backfill_records(items, links, TT.quotas(spark, sf), IN.NOW)
+    return stage(LN.backfill_records(items, links, TT.quotas(spark, sf), IN.NOW), "records")
 
 
 @query
@@ -471,9 +469,9 @@ def discover_synonyms(spark, sf):
 
 @query
 def run_learning(spark, sf):
-    weights, rules = LN.run_learning(
-        _records(spark, sf), _no_rules(spark), _weights(spark, sf), IN.NOW
-    )
+    records = _records(spark, sf)
+    old = LN.keyword_weights(records, now=IN.NOW)
+    weights, rules = LN.run_learning(records, _no_rules(spark), old, IN.NOW)
     a = weights.select(F.lit("weight").alias("kind"), "keyword", F.round("weight", 6).alias("v"))
     b = rules.select(
         F.lit("rule").alias("kind"), F.col("source_text").alias("keyword"),
@@ -492,7 +490,7 @@ def top_keywords(spark, sf):
 @query
 def synonym_map(spark, sf):
     return LN.synonym_map(_rules(spark, sf)).select(
-        "source_text", F.to_json(F.array_sort("synonyms")).alias("synonyms")
+        "source_text", F.to_json(F.sort_array("synonyms")).alias("synonyms")
     )
 
 
