@@ -46,12 +46,13 @@ def lookup(df: DataFrame, **eq) -> DataFrame:
 
 
 def _open(status: Column) -> Column:
-    return ~F.coalesce(status, F.lit(0)).isin(*SETTLED)
+    # Written so that the file scan can apply it.
+    return status.isNull() | ~status.isin(*SETTLED)
 
 
 def eligible(status: Column, unit: Column) -> Column:
     """Not settled by hand and has a unit."""
-    return _open(status) & ~is_blank(unit)
+    return _open(status) & unit.isNotNull() & ~is_blank(unit)
 
 
 def eligible_items(items: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _cell(v):
         return ("b", str(v))
     if isinstance(v, (int, float, Decimal)):
         f = float(v)
-        return ("n", "nan" if math.isnan(f) else f"{f:.6f}")
+        return ("n", "nan" if math.isnan(f) else f"{f:.9f}")
     return ("s", str(v))
 
 

@@ -132,7 +132,7 @@ def match(zh, early=True, before="", weighted=None):
         f"q.unit_price AS matched_unit_price, CAST(i.quantity * q.unit_price AS {MONEY}) AS "
         "total_price, CAST(CASE WHEN q.id IS NOT NULL THEN 1 WHEN coalesce(i.match_status, 0) IN "
         "(2, 3) THEN i.match_status ELSE 0 END AS INTEGER) AS match_status, "
-        f"round(b.s, 6) AS score FROM items i LEFT JOIN best b ON b.s >= 0.3 AND b.n = {n} AND "
+        f"round(b.s, 9) AS score FROM items i LEFT JOIN best b ON b.s >= 0.3 AND b.n = {n} AND "
         f"b.f = {f} AND {ELIGIBLE.replace('match_status', 'i.match_status').replace('unit', 'i.unit')} "
         "LEFT JOIN quotas q ON q.id = b.qid"
     )
@@ -272,7 +272,7 @@ def _table():
     o["top_candidates"] = (
         f"WITH {quotas()}, {items()}, {texts()}, {X.scored_ctes('it', 'qt')} SELECT n AS item_name, "
         "f AS feature_value, qid, CAST(row_number() OVER (PARTITION BY n, f ORDER BY s DESC, qid) AS "
-        "INTEGER) AS rank, round(s, 6) AS score FROM scored WHERE s >= 0.3 QUALIFY rank <= 3"
+        "INTEGER) AS rank, round(s, 9) AS score FROM scored WHERE s >= 0.3 QUALIFY rank <= 3"
     )
     o["match_summary"] = (
         f"{full()} SELECT coalesce(match_status, 0) AS match_status, count(*) AS n_items, "
@@ -306,7 +306,7 @@ def _table():
         "FROM names"
     )
     o["keyword_similarity"] = (
-        f"{NAME_LISTS} SELECT item_name, quota_name, round({X.similarity('a', 'b')}, 6) AS score "
+        f"{NAME_LISTS} SELECT item_name, quota_name, round({X.similarity('a', 'b')}, 9) AS score "
         "FROM lists"
     )
     o["common_keywords"] = (
@@ -316,7 +316,7 @@ def _table():
     o["text_match_score"] = (
         f"{NAMES}, s AS (SELECT *, {X.stripped('item_name')} AS ca, {X.stripped('quota_name')} AS cb "
         f"FROM names), k AS MATERIALIZED (SELECT *, {X.keywords('ca')} AS ka, {X.keywords('cb')} AS "
-        f"kb FROM s) SELECT item_name, quota_name, round({X.text_score('ca', 'cb', 'ka', 'kb')}, 6) "
+        f"kb FROM s) SELECT item_name, quota_name, round({X.text_score('ca', 'cb', 'ka', 'kb')}, 9) "
         "AS score FROM k"
     )
     o["pair_score"] = (
@@ -333,7 +333,7 @@ def _table():
         "feature_value, quota_name, quota_feature, round((sn * 0.4::DOUBLE + CASE WHEN hf THEN sf * "
         "0.3::DOUBLE ELSE 0 END + CASE WHEN len(pb) > 0 THEN sp * 0.3::DOUBLE ELSE 0 END) / "
         "(0.4::DOUBLE + CASE WHEN hf THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN len(pb) > 0 THEN "
-        "0.3::DOUBLE ELSE 0 END), 6) AS score FROM p"
+        "0.3::DOUBLE ELSE 0 END), 9) AS score FROM p"
     )
     o["scope_user"] = f"WITH {items()} SELECT id, item_name, quantity FROM items WHERE user_id = 7"
     o["scope_version"] = (
@@ -479,19 +479,19 @@ def _table():
         "z AS (SELECT 1) SELECT item_name, quota_name FROM records WHERE match_type = 2"
     )
     o["keyword_weights"] = learned(
-        f"{WEIGHTS} SELECT keyword, round(weight, 6) AS weight, match_count, total_count, "
-        "round(success_rate, 6) AS success_rate, false AS is_core_concept FROM weights"
+        f"{WEIGHTS} SELECT keyword, round(weight, 9) AS weight, match_count, total_count, "
+        "round(success_rate, 9) AS success_rate, false AS is_core_concept FROM weights"
     )
     o["discover_synonyms"] = learned(
         f"{RULES} SELECT 'synonym' AS rule_type, keyword AS source_text, keyword AS target_text, "
-        "CAST(to_json(names) AS VARCHAR) AS rule_value, round(confidence, 6) AS confidence FROM rules"
+        "CAST(to_json(names) AS VARCHAR) AS rule_value, round(confidence, 9) AS confidence FROM rules"
     )
     o["run_learning"] = learned(
-        f"{WEIGHTS}, {RULES} SELECT 'weight' AS kind, keyword, round(weight, 6) AS v FROM weights "
-        "UNION ALL SELECT 'rule', keyword, round(confidence, 6) FROM rules"
+        f"{WEIGHTS}, {RULES} SELECT 'weight' AS kind, keyword, round(weight, 9) AS v FROM weights "
+        "UNION ALL SELECT 'rule', keyword, round(confidence, 9) FROM rules"
     )
     o["top_keywords"] = learned(
-        f"{WEIGHTS} SELECT keyword, round(weight, 6) AS weight, match_count, total_count FROM "
+        f"{WEIGHTS} SELECT keyword, round(weight, 9) AS weight, match_count, total_count FROM "
         "weights ORDER BY weights.weight DESC, keyword LIMIT 20"
     )
     o["synonym_map"] = learned(
@@ -507,7 +507,7 @@ def _table():
     total = f"list_sum(list_transform({{}}, lambda x: {LIST_WEIGHTS}))"
     o["weighted_similarity"] = (
         f"{NAME_LISTS} SELECT item_name, quota_name, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 "
-        f"ELSE coalesce({total.format('list_intersect(a, b)')}, 0) / {total.format('a')} END, 6) AS "
+        f"ELSE coalesce({total.format('list_intersect(a, b)')}, 0) / {total.format('a')} END, 9) AS "
         "score FROM lists"
     )
     o["load_quotas"] = (

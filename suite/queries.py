@@ -44,7 +44,7 @@ def _matched(spark, sf, zh, **options):
     out = MA.match_items(
         TT.items(spark, sf, zh), TT.quotas(spark, sf, zh), with_score=True, **options
     )
-    return out.select(*ITEM_VIEW, F.round("match_score", 6).alias("score"))
+    return out.select(*ITEM_VIEW, F.round("match_score", 9).alias("score"))
 
 
 @query
@@ -82,7 +82,7 @@ def top_candidates(spark, sf):
         F.col("profile.feature").alias("feature_value"),
     )
     return best.join(names, "tid").select(
-        "item_name", "feature_value", "qid", "rank", F.round("score", 6).alias("score")
+        "item_name", "feature_value", "qid", "rank", F.round("score", 9).alias("score")
     )
 
 
@@ -149,7 +149,7 @@ def keyword_similarity(spark, sf):
     p = IN.probe_pairs(spark, sf).select("item_name", "quota_name").distinct()
     a, b = T.keyword_set(F.col("item_name")), T.keyword_set(F.col("quota_name"))
     return p.select(
-        "item_name", "quota_name", F.round(S.keyword_similarity(a, b), 6).alias("score")
+        "item_name", "quota_name", F.round(S.keyword_similarity(a, b), 9).alias("score")
     )
 
 
@@ -165,7 +165,7 @@ def common_keywords(spark, sf):
 def text_match_score(spark, sf):
     p = IN.probe_pairs(spark, sf).select("item_name", "quota_name").distinct()
     score = S.text_match_score(F.col("item_name"), F.col("quota_name"))
-    return p.select("item_name", "quota_name", F.round(score, 6).alias("score"))
+    return p.select("item_name", "quota_name", F.round(score, 9).alias("score"))
 
 
 def _profiled_pairs(spark, sf):
@@ -178,7 +178,7 @@ def _profiled_pairs(spark, sf):
 def pair_score(spark, sf):
     return _profiled_pairs(spark, sf).select(
         "item_name", "feature_value", "quota_name", "quota_feature",
-        F.round(S.pair_score(F.col("i"), F.col("q")), 6).alias("score"),
+        F.round(S.pair_score(F.col("i"), F.col("q")), 9).alias("score"),
     )
 
 
@@ -444,8 +444,8 @@ def records_by_type(spark, sf):
 @query
 def keyword_weights(spark, sf):
     return _weights(spark, sf).select(
-        "keyword", F.round("weight", 6).alias("weight"), "match_count", "total_count",
-        F.round("success_rate", 6).alias("success_rate"), "is_core_concept",
+        "keyword", F.round("weight", 9).alias("weight"), "match_count", "total_count",
+        F.round("success_rate", 9).alias("success_rate"), "is_core_concept",
     )
 
 
@@ -463,7 +463,7 @@ def _rules(spark, sf):
 def discover_synonyms(spark, sf):
     return _rules(spark, sf).select(
         "rule_type", "source_text", "target_text", F.to_json("rule_value").alias("rule_value"),
-        F.round("confidence", 6).alias("confidence"),
+        F.round("confidence", 9).alias("confidence"),
     )
 
 
@@ -472,10 +472,10 @@ def run_learning(spark, sf):
     records = _records(spark, sf)
     old = LN.keyword_weights(records, now=IN.NOW)
     weights, rules = LN.run_learning(records, _no_rules(spark), old, IN.NOW)
-    a = weights.select(F.lit("weight").alias("kind"), "keyword", F.round("weight", 6).alias("v"))
+    a = weights.select(F.lit("weight").alias("kind"), "keyword", F.round("weight", 9).alias("v"))
     b = rules.select(
         F.lit("rule").alias("kind"), F.col("source_text").alias("keyword"),
-        F.round("confidence", 6).alias("v"),
+        F.round("confidence", 9).alias("v"),
     )
     return a.unionByName(b)
 
@@ -483,7 +483,7 @@ def run_learning(spark, sf):
 @query
 def top_keywords(spark, sf):
     return RK.top_keywords(_weights(spark, sf)).select(
-        "keyword", F.round("weight", 6).alias("weight"), "match_count", "total_count"
+        "keyword", F.round("weight", 9).alias("weight"), "match_count", "total_count"
     )
 
 
@@ -513,7 +513,7 @@ def weighted_similarity(spark, sf):
     a, b = T.keyword_set(F.col("item_name")), T.keyword_set(F.col("quota_name"))
     return p.select(
         "item_name", "quota_name",
-        F.round(S.weighted_similarity(a, b, weights), 6).alias("score"),
+        F.round(S.weighted_similarity(a, b, weights), 9).alias("score"),
     )
 
 
