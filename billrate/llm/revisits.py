@@ -148,7 +148,7 @@ def captures(pages: DataFrame) -> DataFrame:
         line("Content-Length", F.lit("0")), line("Cache-Control", F.lit("max-age=120")),
         line("Date", F.concat(F.lit("t"), (at + delay).cast("string"))),
     )
-    other = F.concat(F.regexp_replace("url", "^https?://", "HTTPS://WWW."), F.lit("#again"))
+    other = F.concat(F.regexp_replace("url", r"^https?://(?:www\.)?", "HTTPS://WWW."), F.lit("#again"))
     full = pages.select(
         (F.col("page_id") * 2).alias("record_id"), F.col("url").alias("uri"), at.alias("date"),
         F.lit("response").alias("type"), F.lit("").alias("profile"), F.lit(200).alias("status"),

@@ -9,7 +9,8 @@ landmarks times the inverse root of the landmarks' own kernel) feeds a squared-h
 
 Labels mark documents, so training picks, in turns, the sentence of each toxic document
 that the machine finds worst, against all sentences of clean documents.  A document
-scores by its worst sentence; a logistic curve turns that into a probability.
+scores by its worst sentence and by all that lie beyond the margin; a logistic curve turns
+that into a probability.
 
 The model learns from a bounded sample of labelled rows, as many toxic as clean ones.
 Null and empty texts score like a sentence without a known word.  Without labelled rows all
@@ -22,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,6 @@ from billrate.llm.common import arrow_map, held_out, may_learn, slices
 _SINGLES = re.compile(r"(?<!\S)(?:\w[^\w\s]? ){2,}\w(?!\w)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _END = re.compile(r"[.!?][\"')\]]*$")
-_NONE = np.uint32(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -42,13 +44,14 @@ class ToxicityParams:
 
     rows_per_class: int = 1000
     max_chars: int = 20_000
-    length: int = 3
-    decay: float = 0.6
-    landmarks: int = 32
-    piece: int = 24
+    length: int = 4
+    max_span: int = 7
+    decay: float = 0.5
+    landmarks: int = 48
+    piece: int = 16
     sentence_words: int = 64
     turns: int = 4
-    cached_words: int = 200_000
+    cached_words: int = 300_000
     threshold: float = 0.3
 
 
@@ -57,8 +60,7 @@ class ToxicityModel:
     landmarks: tuple[str, ...]
     weights: np.ndarray  # of the kernel values: Nyström root times SVM weights
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray
     constant: float | None
     params: ToxicityParams
 
@@ -67,62 +69,94 @@ class ToxicityModel:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    width = max(map(len, words), default=0)
-    out = np.full((len(words), width), _NONE, np.uint32)
-    for k, w in enumerate(words):
-        out[k, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return out
-
-
-def _subsequences(s: np.ndarray, t: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    """Kernel of arrays of words that broadcast: s is (..., p), t is (..., q).  Characters past a
-    word's end match nothing."""
-    lam = np.float32(params.decay)
-    p, q = s.shape[-1], t.shape[-1]
-    shape = np.broadcast_shapes(s.shape[:-1], t.shape[:-1])
-    zero = np.zeros(shape, np.float32)
-    ones = np.ones(shape, np.float32)
-    # before[d][j]: weight of common subsequences of d characters that reach to here, by place in t
-    before = [[ones] * (q + 1)] + [[zero] * (q + 1) for _ in range(params.length - 1)]
+    """Code points of words of one length, with a mark at either end so that a kernel sees
+    where a word begins."""
+    text = "".join(f"<{w}>" for w in words)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+
+
+@lru_cache(64)
+def _places(size: int, length: int, decay: float, max_span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Choices of ``length`` of ``size`` places within ``max_span``, and the decay by the stretch of each."""
+    at = np.array(list(combinations(range(size), length)), np.int64).reshape(-1, length)
+    at = at[at[:, -1] - at[:, 0] < max_span]
+    return at, (decay ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
+def _norms(s: np.ndarray, params: ToxicityParams) -> np.ndarray:
+    """Root of the kernel of each word with itself, by dynamic programming over both places."""
+    lam, size = np.float32(params.decay), s.shape[1]
+    zero = np.zeros(len(s), np.float32)
+    before = [[zero + 1] * (size + 1)] + [[zero] * (size + 1) for _ in range(params.length - 1)]
     total = zero
-    for i in range(p):
-        same = [(s[..., i] == t[..., j]) & (t[..., j] != _NONE) for j in range(q)]
+    for i in range(size):
+        same = [(s[:, i] == s[:, j]) * (lam * lam) for j in range(size)]
         after = [before[0]]
         for d in range(1, params.length):
             run, row = zero, [zero]
-            for j in range(q):
-                run = lam * run + (lam * lam) * (same[j] * before[d - 1][j])
+            for j in range(size):
+                run = lam * run + same[j] * before[d - 1][j]
                 row.append(lam * before[d][j + 1] + run)
             after.append(row)
-        for j in range(q):
-            total = total + (lam * lam) * (same[j] * before[params.length - 1][j])
+        for j in range(size):
+            total = total + same[j] * before[params.length - 1][j]
         before = after
-    return total
+    return np.sqrt(total)
 
 
 def _pieces(word: str, size: int) -> list[str]:
     return [word] if len(word) <= size else [word[a : a + size] for a in range(0, len(word) - size // 2, size // 2)]
 
 
-def kernel(words: list[str], landmarks: list[str], params: ToxicityParams) -> np.ndarray:
-    """Normed kernel of each word with each landmark; a long word counts by its best piece."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    cut = [(k, x) for k, w in enumerate(words) for x in _pieces(w, params.piece)]
-    by_length: dict[int, list[tuple[int, str]]] = {}
-    for k, x in cut:
-        if len(x) >= params.length:
-            by_length.setdefault(len(x), []).append((k, x))
-    marks = _codes(landmarks)
-    mark_norm = np.sqrt(_subsequences(marks, marks, params))
-    for rows in by_length.values():
-        for a in range(0, len(rows), 2048):
-            ks = [k for k, _ in rows[a : a + 2048]]
-            s = _codes([x for _, x in rows[a : a + 2048]])
-            norm = np.sqrt(_subsequences(s, s, params))
-            got = _subsequences(s[:, None, :], marks[None, :, :], params)
-            got /= np.maximum(norm[:, None] * mark_norm[None, :], 1e-12)
-            np.maximum.at(out, ks, got)
-    return out
+class Landmarks:
+    """Subsequences of the landmarks with their weights, looked up by their characters."""
+
+    def __init__(self, landmarks: list[str], params: ToxicityParams):
+        self.params, self.n = params, len(landmarks)
+        chars = sorted({c for w in landmarks for c in f"<{w}>"})
+        self.base = len(chars) + 1
+        self.ids = np.zeros(0x110000, np.int64)
+        self.ids[[ord(c) for c in chars]] = np.arange(1, self.base)
+        rows: dict[int, np.ndarray] = {}
+        for k, w in enumerate(landmarks):
+            codes = _codes([w])
+            at, weight = _places(codes.shape[1], params.length, params.decay, params.max_span)
+            norm = _norms(codes, params)[0]
+            for key, v in zip(self._keys(self.ids[codes], at)[0].tolist(), weight.tolist(), strict=True):
+                rows.setdefault(key, np.zeros(self.n, np.float32))[k] += v / norm
+        self.place = np.full(self.base**params.length, -1, np.int32)
+        self.place[list(rows)] = np.arange(len(rows))
+        self.weights = np.array(list(rows.values()), np.float32).reshape(len(rows), self.n)
+
+    def _keys(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        key = np.zeros((len(ids), len(at)), np.int64)
+        for k in range(self.params.length):
+            key *= self.base
+            key += ids[:, at[:, k]]
+        return key
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Normed kernel of each word with each landmark; a long word counts by its best piece."""
+        out = np.zeros((len(words), self.n), np.float32)
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for k, w in enumerate(words):
+            for x in _pieces(w, self.params.piece):
+                if len(x) >= 2:
+                    by_length.setdefault(len(x), []).append((k, x))
+        for size, rows in by_length.items():
+            at, weight = _places(size + 2, self.params.length, self.params.decay, self.params.max_span)
+            step = max(1, 400_000 // max(len(at), 1))
+            for a in range(0, len(rows), step):
+                codes = _codes([x for _, x in rows[a : a + step]])
+                found = self.place[self._keys(self.ids[codes], at)]
+                word, choice = np.nonzero(found >= 0)
+                if not len(word):
+                    continue
+                some, starts = np.unique(word, return_index=True)
+                value = self.weights[found[word, choice]] * weight[choice][:, None]
+                got = np.add.reduceat(value, starts, axis=0) / _norms(codes[some], self.params)[:, None]
+                np.maximum.at(out, [rows[a + k][0] for k in some.tolist()], got)
+        return out
 
 
 # --- sentences --------------------------------------------------------------
@@ -140,26 +174,28 @@ class Words:
     """Kernel rows of words met so far, bounded; one per worker and model."""
 
     def __init__(self, landmarks: list[str], params: ToxicityParams):
-        self.landmarks, self.params = landmarks, params
+        self.landmarks, self.params = Landmarks(landmarks, params), params
         self.clear()
 
     def clear(self):
-        self.ids: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.landmarks)), np.float32)
+        self.ids: dict[str, int] = {}  # of words as written
+        self.plain: dict[str, int] = {}  # of words without marks at their ends
+        self.rows = np.zeros((0, self.landmarks.n), np.float32)
+        self.row_of = np.zeros(0, np.int64)
         self.ends = np.zeros(0, bool)
 
     def learn(self, found: list[str]):
-        new = [w for w in dict.fromkeys(found) if w not in self.ids]
+        distinct = set(found)
+        new = [w for w in distinct if w not in self.ids]
         if len(self.ids) + len(new) > self.params.cached_words:
             self.clear()
-            new = list(dict.fromkeys(found))
-        base = len(self.ids)
-        self.ids.update(zip(new, range(base, base + len(new)), strict=True))
+            new = list(distinct)
+        self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
         plain = [_EDGE.sub("", w) for w in new]
-        distinct = list(dict.fromkeys(plain))
-        at = dict(zip(distinct, range(len(distinct)), strict=True))
-        rows = kernel(distinct, self.landmarks, self.params)[[at[w] for w in plain]] if new else self.rows[:0]
-        self.rows = np.concatenate([self.rows, rows])
+        fresh = [w for w in set(plain) if w not in self.plain]
+        self.plain.update(zip(fresh, range(len(self.plain), len(self.plain) + len(fresh)), strict=True))
+        self.rows = np.concatenate([self.rows, self.landmarks.kernel(fresh)])
+        self.row_of = np.concatenate([self.row_of, np.array([self.plain[w] for w in plain], np.int64)])
         self.ends = np.concatenate([self.ends, np.array([bool(_END.search(w)) for w in new], bool)])
 
     def sentences(self, texts: list[list[str]]):
@@ -171,7 +207,7 @@ class Words:
         sizes = np.array([len(t) for t in texts], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
         if not len(ids):
-            return np.zeros((0, len(self.landmarks)), np.float32), owner
+            return np.zeros((0, self.landmarks.n), np.float32), owner
         begin = np.ones(len(ids), bool)
         begin[1:] = self.ends[ids[:-1]] | (owner[1:] != owner[:-1])
         place = np.arange(len(ids)) - np.maximum.accumulate(np.where(begin, np.arange(len(ids)), 0))
@@ -182,7 +218,7 @@ class Words:
         for a in range(0, len(starts), step):
             lo = starts[a]
             hi = starts[a + step] if a + step < len(starts) else len(ids)
-            out.append(np.maximum.reduceat(self.rows[ids[lo:hi]], starts[a : a + step] - lo, axis=0))
+            out.append(np.maximum.reduceat(self.rows[self.row_of[ids[lo:hi]]], starts[a : a + step] - lo, axis=0))
         return np.concatenate(out), owner[starts]
 
 
@@ -218,7 +254,7 @@ def _odds(texts: list[list[str]], y: np.ndarray) -> dict[str, float]:
 def _choose(odds: dict[str, float], texts: list[list[str]], params: ToxicityParams) -> list[str]:
     """Landmarks: telling words that are not alike, then words drawn from all training texts."""
     ranked = [w for w in sorted(odds, key=lambda w: (-odds[w], w)) if odds[w] > 0][:400]
-    near = kernel(ranked, ranked, params) if ranked else np.zeros((0, 0))
+    near = Landmarks(ranked, params).kernel(ranked) if ranked else np.zeros((0, 0))
     chosen: list[int] = []
     for k in range(len(ranked)):
         if len(chosen) >= params.landmarks * 3 // 4:
@@ -249,15 +285,29 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> tup
     return w[:-1], float(w[-1])
 
 
-def _curve(f: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve over decision values, by Newton steps."""
-    x = np.stack([f, np.ones_like(f)], axis=1)
-    w = np.zeros(2)
+def _gather(f: np.ndarray, owner: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """What a document's sentences say together: the worst, all beyond the margin, how many."""
+    worst = np.full(n, -np.inf)
+    np.maximum.at(worst, owner, f)
+    worst[np.isneginf(worst)] = bias
+    beyond = np.bincount(owner, np.maximum(f + 1, 0), minlength=n)
+    count = np.bincount(owner, minlength=n)
+    return np.stack([worst, np.log1p(beyond), np.log1p(count), np.ones(n)], axis=1)
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Logistic curve over what sentences say together, by damped Newton steps."""
+    w, keep = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (c * (p - y)) + 1e-3 * w
-        w -= np.linalg.solve((x * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
-    return float(w[0]), float(w[1])
+        p = _logistic(x @ w)
+        grad = x.T @ (c * (p - y)) + keep @ w
+        step = np.linalg.solve((x * (c * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + keep, grad)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -267,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     texts = [tokens(t) for t in got.column("text").to_pylist()]
     none = np.zeros(0)
     if len(y) == 0 or y.min() == y.max():
-        return ToxicityModel((), none, 0.0, 1.0, 0.0, float(y.max()) if len(y) else 0.0, params)
+        return ToxicityModel((), none, 0.0, none, float(y.max()) if len(y) else 0.0, params)
     sampled = np.bincount(y, minlength=2)
     stands = np.array([n / sampled[k] for n, k in zip(got.column("n").to_pylist(), y, strict=True)])
     stands /= stands.mean()
@@ -280,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         x.append(part)
         owner.append(own + a)
     x, owner = np.concatenate(x), np.concatenate(owner)
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, params).astype(np.float64))
+    values, vectors = np.linalg.eigh(words.landmarks.kernel(landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     mapped = x @ root
     worst = x[:, : max(1, params.landmarks * 3 // 4)].max(axis=1)  # first guess: most like a telling word
@@ -294,23 +344,25 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         c = np.where(target > 0, 1.0, max(len(witness), 1) / max(len(clean), 1) * 2)
         w, b = _svm(mapped[rows], target, c)
         worst = mapped @ w + b
-    best = np.full(len(y), b)
-    np.maximum.at(best, owner, worst)
-    slope, offset = _curve(best, y, stands)
-    return ToxicityModel(tuple(landmarks), root @ w, b, slope, offset, None, params)
+    curve = _curve(_gather(worst, owner, len(y), b), y, stands)
+    return ToxicityModel(tuple(landmarks), root @ w, b, curve, None, params)
 
 
 # --- scoring ----------------------------------------------------------------
 
 
+@lru_cache(2)
+def _worker_words(landmarks: tuple[str, ...], params: ToxicityParams) -> Words:
+    """Words met by this worker process, in all its tasks."""
+    return Words(list(landmarks), params)
+
+
 def score_texts(texts: list[str | None], model: ToxicityModel, words: Words) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    f = np.full(len(texts), -np.inf)
     x, owner = words.sentences([tokens(t) for t in texts])
-    np.maximum.at(f, owner, x @ model.weights + model.bias)
-    f[np.isneginf(f)] = model.bias
-    return 1 / (1 + np.exp(-np.clip(model.slope * f + model.offset, -30, 30)))
+    f = x @ model.weights + model.bias
+    return _logistic(_gather(f, owner, len(texts), model.bias) @ model.curve)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -319,7 +371,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        words = Words(list(m.landmarks), m.params)
+        words = _worker_words(m.landmarks, m.params)
         for batch in batches:
             for start, texts in slices(batch.column(2), 2 << 20):
                 s = score_texts(texts, m, words)
