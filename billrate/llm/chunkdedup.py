@@ -146,7 +146,7 @@ def cut_copies(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFram
             F.sum(F.col("stop") - F.col("start")).alias("n_bytes"),
         ), "chunk-runs",
     ).select(F.col("dk").alias("_cd_dk"), F.col("tk").alias("_cd_tk"), F.col("runs").alias("_cd_runs"),
-             F.col("n_bytes").alias("_cd_bytes"))
+             F.col("n_bytes").alias("_cd_bytes")).hint("merge")  # grows with the documents: the same join at every size
     names = [c for c in docs.columns if c.lower() != "chunk_cut"]
     joined = docs.select(*names, _doc_order().alias("_cd_dk"), F.xxhash64("text").alias("_cd_tk")).join(
         runs, ["_cd_dk", "_cd_tk"], "left"
