@@ -132,6 +132,7 @@ def cut_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         ), "line-runs",
     ).select(F.col("dk").alias("_ld_dk"), F.col("tk").alias("_ld_tk"), F.col("runs").alias("_ld_runs"),
              F.col("removed").alias("_ld_removed"), F.col("longest").alias("_ld_longest"))
+    runs = runs.hint("merge")  # grows with the documents: the same join at every size
     dk, tk = doc_key()
     keyed = docs.select("*", dk.alias("_ld_dk"), tk.alias("_ld_tk"))
     joined = keyed.join(runs, ["_ld_dk", "_ld_tk"], "left")
