@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billrate.llm.common import arrow_map, may_learn, ship
+from billrate.session import stage
 
 LETTER = r"\p{L}"
 UND = "und"
@@ -101,16 +102,18 @@ def training_rows(docs: DataFrame, params: LanguageParams) -> DataFrame:
         F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & may_learn(F.col("doc_id"))
     )
     share = F.xxhash64(F.col("doc_id"), F.lit(params.seed)) / F.lit(2.0**64) + F.lit(0.5)
-    rates = rows.groupBy("lang").agg((F.lit(params.rows_per_lang) / F.count("*")).alias("rate"))
-    picked = rows.join(rates, "lang").filter(share < F.col("rate"))
+    # Ids alone are weighed and drawn; the rates are written, so their size decides the join.
+    keys = rows.select("doc_id", F.xxhash64("text").alias("tk"), "lang")
+    counts = stage(keys.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
     ids = (
-        picked.select("doc_id", F.xxhash64("text").alias("tk"), "lang")
+        keys.join(counts, "lang").filter(share < F.lit(params.rows_per_lang) / F.col("n"))
+        .select("doc_id", "tk", "lang")
         .orderBy(F.xxhash64(F.col("doc_id"), F.lit(params.seed)), "doc_id", "tk", "lang")
         .limit(params.max_rows)
     )
     return (
         rows.withColumn("tk", F.xxhash64("text"))
-        .join(F.broadcast(ids.distinct()), ["doc_id", "tk", "lang"], "left_semi")
+        .join(F.broadcast(ids.distinct()), ["doc_id", "tk", "lang"], "left_semi")  # max_rows at most
         .select("doc_id", "tk", "lang", "text")
     )
 

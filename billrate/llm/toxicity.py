@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billrate.llm.common import arrow_map, held_out, may_learn, slices
+from billrate.session import stage
 
 _SINGLES = re.compile(r"(?<!\S)(?:\w[^\w\s]? ){2,}\w(?!\w)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -229,14 +230,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, params: ToxicityParams) ->
     """text, toxic and the weight of a row: how many rows of its class it stands for."""
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(may_learn(F.col("labelled")))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= params.max_chars).join(
-        marks, F.col("doc_id") == F.col("labelled")
+    # Ids alone are joined, weighed and drawn; only the drawn rows' texts are read.
+    short = F.length("text") <= params.max_chars
+    keys = stage(
+        docs.filter(short).select("doc_id", F.xxhash64("text").alias("tk"))
+        .join(marks, F.col("doc_id") == F.col("labelled")).select("doc_id", "tk", "toxic"), "toxic-rows",
     )
-    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"))
+    counts = stage(keys.groupBy("toxic").agg(F.count("*").alias("n")), "toxic-counts")
     share = F.xxhash64(F.col("doc_id"), F.lit(13)) / F.lit(2.0**64) + F.lit(0.5)
-    picked = rows.join(counts, "toxic").filter(share < F.lit(params.rows_per_class) / F.col("n"))
-    order = [F.xxhash64(F.col("doc_id"), F.lit(13)), "doc_id", "text"]
-    return picked.orderBy(*order).limit(2 * params.rows_per_class + params.rows_per_class // 4).select("text", "toxic", "n")
+    ids = (
+        keys.join(counts, "toxic").filter(share < F.lit(params.rows_per_class) / F.col("n"))
+        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(13)), "doc_id", "tk")
+        .limit(2 * params.rows_per_class + params.rows_per_class // 4).distinct()
+    )
+    texts = docs.filter(short).select("doc_id", "text", F.xxhash64("text").alias("tk"))
+    return texts.join(F.broadcast(ids), ["doc_id", "tk"]).select("doc_id", "tk", "text", "toxic", "n")
 
 
 def _odds(texts: list[list[str]], y: np.ndarray) -> dict[str, float]:
@@ -312,7 +320,7 @@ def _curve(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Learn from the labelled rows outside the held-out fold."""
-    got = training_rows(docs, labels, params).toArrow()
+    got = training_rows(docs, labels, params).toArrow().sort_by([("doc_id", "ascending"), ("tk", "ascending")])
     y = np.array([int(v > 0) for v in got.column("toxic").to_pylist()])
     texts = [tokens(t) for t in got.column("text").to_pylist()]
     none = np.zeros(0)
