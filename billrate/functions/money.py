@@ -20,8 +20,11 @@ def as_text(c: Column) -> Column:
 
 
 def number_as_text(c: Column) -> Column:
-    """Numeric cell as text; whole numbers print without a fraction."""
-    whole = c.cast("long")
+    """Numeric cell as text; whole numbers print without a fraction.
+
+    A number beyond 64 bits, infinity and NaN print as they are.
+    """
+    whole = c.try_cast("long")
     return F.coalesce(
         F.when(c == whole, whole.cast("string")).otherwise(c.cast("string")), F.lit("")
     )
@@ -39,8 +42,8 @@ def as_amount(c: Column) -> Column:
 
 
 def line_total(quantity: Column, price: Column) -> Column:
-    """Exact product rounded half up to two places; null if either is null."""
-    return (quantity.cast(MONEY) * price.cast(MONEY)).cast(MONEY)
+    """Exact product rounded half up to two places; null if either is null or it has over 16 digits."""
+    return (quantity.cast(MONEY) * price.cast(MONEY)).try_cast(MONEY)
 
 
 def status_text(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,11 @@ def scope_version(quotas: DataFrame, version_id: int | None = None) -> DataFrame
 def search_quotas(
     quotas: DataFrame, kw: str, version_id: int | None = None, ignore_case: bool = False
 ) -> DataFrame:
-    """Name or feature LIKE %kw%; wildcards in ``kw`` keep their meaning."""
-    pattern = f"%{kw}%"
+    """Name or feature LIKE %kw%; wildcards in ``kw`` keep their meaning.
+
+    A backslash before anything but a wildcard or itself stands for itself.
+    """
+    pattern = "%" + re.sub(r"\\\\|\\(?![%_])", r"\\\\", kw) + "%"
 
     def hit(c: str) -> Column:
         return F.col(c).ilike(pattern) if ignore_case else F.col(c).like(pattern)

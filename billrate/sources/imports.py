@@ -17,12 +17,17 @@ AMOUNTS = {"unit_price", "labor_cost", "material_cost", "machine_cost", "quantit
 
 
 def _raw(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
-    """Read a table whose columns count by position."""
+    """Read a table whose columns count by position.
+
+    A large CSV file is split among tasks; ``multiLine=True`` reads cells with line breaks,
+    each file in one task.
+    """
     if fmt == "csv":
-        return spark.read.options(
-            header=True, inferSchema=False, quote='"', escape='"', multiLine=True,
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options,
-        ).csv(path)
+        base = dict(
+            header=True, inferSchema=False, quote='"', escape='"',
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        return spark.read.options(**base | options).csv(path)
     if fmt == "jdbc":
         return spark.read.format("jdbc").options(dbtable=path, **options).load()
     return spark.read.format(fmt).options(**options).load(path)
@@ -48,7 +53,7 @@ def _amount_cell(df: DataFrame, name: str) -> Column:
     zero = F.lit(0).cast("decimal(18,2)")
     if kind in ("boolean", "date", "timestamp"):
         return zero
-    return F.coalesce(c.cast("decimal(18,2)"), zero)
+    return F.coalesce(c.try_cast("decimal(18,2)"), zero)
 
 
 def from_layout(df: DataFrame, layout: tuple[str, ...]) -> DataFrame:

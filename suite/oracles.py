@@ -362,9 +362,9 @@ def _table():
     )
     price = "TRY_CAST(substring(text, 1, 2) AS DECIMAL(18,2))"
     o["validate_items"] = (
-        f"SELECT conv_id, turn, CASE WHEN {X.blank('text')} THEN 'name missing' WHEN TRY_CAST(role AS "
-        f"DECIMAL(18,2)) IS NULL AND role IS NOT NULL THEN 'quantity not a number' WHEN {price} IS "
-        f"NULL OR {price} < 0 THEN 'price not valid' END AS reject_reason FROM conversations"
+        "SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'name missing' WHEN c_nationkey = 1 THEN "
+        "'quantity not a number' WHEN round(c_acctbal, 2) < 0 THEN 'price not valid' END AS reject_reason "
+        "FROM customer"
     )
     o["manual_match"] = (
         f"{full()}, {LAST_EDIT} SELECT s.id, coalesce(l.id, matched_quota_id) AS matched_quota_id, "

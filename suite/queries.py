@@ -236,11 +236,13 @@ def grep_rows(spark, sf):
 
 @query
 def validate_items(spark, sf):
-    p = TT.read(spark, sf, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("item_name"),
-        F.substring("text", 1, 2).alias("unit_price"), F.col("role").alias("quantity"),
+    p = TT.read(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_nationkey") == 0, " ").otherwise(F.col("c_name")).alias("item_name"),
+        F.col("c_acctbal").cast("string").alias("unit_price"),
+        F.when(F.col("c_nationkey") == 1, F.col("c_name")).otherwise(F.col("c_nationkey").cast("string"))
+        .alias("quantity"),
     )
-    return FL.validate_items(p).select("conv_id", "turn", "reject_reason")
+    return FL.validate_items(p).select("c_custkey", "reject_reason")
 
 
 # --- overrides and links ----------------------------------------------------
