@@ -101,9 +101,16 @@ def resolve(records: DataFrame) -> DataFrame:
     own = records.filter(revisit).select("record_id", canonical_url(F.col("uri")).alias("url"), header_map(F.col("headers")).alias("new"))
     stored = records.filter(full).select(
         F.col("record_id").alias("source_id"), header_map(F.col("headers")).alias("old"), "payload"
-    ).dropDuplicates(["source_id"])
+    )
+    # Bodies move once, in the join; only those of repeated records move to be made unique.
+    twice = stage(
+        stored.groupBy("source_id").agg(F.count("*").alias("n")).filter("n > 1").select("source_id"), "responses-twice"
+    )
+    once = stored.join(twice, "source_id", "left_anti").unionByName(
+        stored.join(twice, "source_id", "left_semi").dropDuplicates(["source_id"])
+    )
     pointed = stage(own.join(sources, "record_id", "left"), "revisits-pointed")
-    both = pointed.join(stage(stored, "responses"), "source_id", "left")
+    both = pointed.join(once, "source_id", "left")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     new, old = (lambda k: F.col("new")[k]), (lambda k: F.col("old")[k])
     agree = lambda k, f: F.coalesce(f(new(k)) == f(old(k)), F.lit(False))
