@@ -13,7 +13,8 @@ date       in the calendar, 1700 to 2099    the 146,097 days of these years
 
 A network works on a pair (a, b) below (ra, rb) and adds, in turn, a keyed hash of one
 to the other, modulo its range; format and range are part of the hash.  Separators, the
-order of day, month and year, and leading zeros stay.  A date is read as day-month-year if
+order of day, month and year, and two-digit parts stay; a one-digit day or month gets as many
+digits as it needs.  A date is read as day-month-year if
 valid, else month-day-year.  What is not valid stays as it is.
 
 A null text stays null; empty texts stay empty.  Rows are independent.  Extra columns are kept.
