@@ -20,7 +20,9 @@ def test_numbers_out_of_range(spark):
 
 
 def test_templates_with_null_values_and_equal_names(spark):
-    row = spark.sql("""select '{"a":"1"," a":"2"}' j, 'x ${a} ${b}' t, map('${a}', '1', '${b}', cast(null as string)) m""")
+    row = spark.createDataFrame(
+        [('{"a":"1"," a":"2"}', "x ${a} ${b}", {"${a}": "1", "${b}": None})], "j string, t string, m map<string,string>"
+    )
     got = row.select(TP.replacements_from_json(F.col("j")), TP.render_template(F.col("t"), F.col("m"))).first()
     assert tuple(got) == ({"${a}": "2"}, "x 1 ${b}")
 
