@@ -360,7 +360,6 @@ def _table():
         f"WITH {quotas()} SELECT id FROM quotas WHERE contains(lower(quota_code || ' ' || quota_name "
         "|| ' ' || feature_value), 'large')"
     )
-    price = "TRY_CAST(substring(text, 1, 2) AS DECIMAL(18,2))"
     o["validate_items"] = (
         "SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'name missing' WHEN c_nationkey = 1 THEN "
         "'quantity not a number' WHEN round(c_acctbal, 2) < 0 THEN 'price not valid' END AS reject_reason "
