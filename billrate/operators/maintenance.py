@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billrate.functions.money import line_total
 from billrate.functions.text import is_blank
 from billrate.operators.ranking import latest_override
 from billrate.schemas import ITEM_FIELDS, QUOTA_FIELDS, VERSION_FIELDS, conform
+from billrate.session import stage
 
 PATCHABLE = ("item_code", "item_name", "feature_value", "unit", "quantity", "remark")
 QUOTA_EDITS = (
     "quota_code", "quota_name", "feature_value", "unit", "unit_price", "labor_cost",
     "material_cost", "machine_cost", "remark",
 )
+# Before the first change of any batch.
+_START = -(2**63)
 
 
 def _drop_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
@@ -100,34 +103,81 @@ def delete_quotas(quotas: DataFrame, ids: DataFrame) -> DataFrame:
     return _drop_ids(quotas, ids)
 
 
+def _accepted_names(versions: DataFrame, claims: DataFrame) -> DataFrame:
+    """Who bears which name since when: (id, version_name, since).
+
+    Rows of ``versions`` bear theirs from the start.  A claim is judged once no
+    earlier open claim can change its outcome, so each round settles all claims
+    that do not wait for each other; the earliest open one never waits.
+    """
+    names = stage(
+        versions.select("id", "version_name", F.lit(_START).alias("since")), "version-names"
+    )
+    claims = stage(claims.select("op", "id", "version_name", "edit_seq"), "version-claims")
+    while not claims.isEmpty():
+        until = F.lead("since").over(Window.partitionBy("id").orderBy("since"))
+        edits = claims.groupBy("id").agg(
+            F.min("edit_seq").alias("first_edit"),
+            F.min(F.when(F.col("op") == "insert", F.col("edit_seq"))).alias("first_insert"),
+        )
+        spans = names.withColumn("until", until).join(edits, "id", "left").select(
+            F.col("id").alias("bearer"), F.col("version_name").alias("borne"), "since", "until",
+            F.col("first_edit").alias("bearer_edit"),
+        )
+        at = F.col("edit_seq")
+        borne = (
+            (F.col("version_name") == F.col("borne")) & (F.col("since") < at)
+            & (F.col("until").isNull() | (F.col("until") > at))
+        )
+        first = claims.groupBy("version_name").agg(F.min("edit_seq").alias("first_claim"))
+        born = names.groupBy("id").agg(F.min("since").alias("born"))
+        no = F.lit(False)
+        insert = F.col("op") == "insert"
+        exists = insert | F.coalesce(F.col("born") < at, no)
+        may_exist = exists | F.coalesce(F.col("first_insert") < at, no)
+        taken = F.col("bearer").isNotNull() & (insert | (F.col("bearer") != F.col("id")))
+        may_leave = F.coalesce(F.col("bearer_edit") < at, no)
+        verdict = F.when(~may_exist | (taken & ~may_leave), False).when(
+            exists & ~taken & (at == F.col("first_claim")), True
+        )
+        judged = stage(
+            claims.join(spans, borne, "left").join(first, "version_name")
+            .join(born, "id", "left").join(edits.drop("first_edit"), "id", "left")
+            .select(*claims.columns, verdict.alias("accepted")),
+            "version-verdicts",
+        )
+        names = stage(
+            names.unionByName(judged.filter("accepted").select(
+                "id", "version_name", at.alias("since")
+            )),
+            "version-names",
+        )
+        claims = judged.filter("accepted is null").drop("accepted")
+    return names
+
+
 def upsert_versions(
     versions: DataFrame, changes: DataFrame, now: str
 ) -> tuple[DataFrame, DataFrame]:
     """Create or rename versions: returns (versions, rejects).
 
-    ``changes`` has (op, id, version_name, description, edit_seq).  A name is
-    needed to create, and must be free: not borne by another version, nor
-    claimed for another version earlier in the batch.
+    ``changes`` has (op, id, version_name, description, edit_seq) and counts as
+    applied one after the other by ``edit_seq`` (unique; without one a change is
+    rejected).  An insert brings a new id and needs a name; an update needs an
+    id that exists by then.  The name must not be borne by another version at
+    that moment: refused changes claim nothing, and a rename sets the old name
+    free.
     """
     stamp = F.lit(now).cast("timestamp")
-    named = ~is_blank(F.col("version_name"))
+    named = F.coalesce(~is_blank(F.col("version_name")), F.lit(False))
     insert = F.col("op") == "insert"
-    taken = versions.select("version_name", F.col("id").alias("bearer"))
-    claims = changes.filter(named).groupBy("version_name").agg(
-        F.min_by("id", "edit_seq").alias("claimant")
-    )
-    known = versions.select(F.col("id"), F.lit(True).alias("exists"))
-    judged = (
-        changes.join(taken, "version_name", "left").join(claims, "version_name", "left")
-        .join(known, "id", "left")
-        .withColumn("clash", F.coalesce(
-            named & ((F.col("bearer") != F.col("id")) | (F.col("claimant") != F.col("id"))
-                     | (insert & F.col("bearer").isNotNull())),
-            F.lit(False),
-        ))
+    names = _accepted_names(versions, changes.filter(named & F.col("edit_seq").isNotNull()))
+    claimed = names.select("id", F.col("since").alias("edit_seq"))
+    born = names.groupBy("id").agg(F.min("since").alias("born"))
+    accepted = changes.filter(named).join(claimed, ["id", "edit_seq"], "left_semi").unionByName(
+        changes.filter(~named & ~insert).join(born, "id")
+        .filter(F.col("born") < F.col("edit_seq")).select(*changes.columns)
     )
-    good = ~F.col("clash") & F.when(insert, named).otherwise(F.col("exists").isNotNull())
-    accepted = judged.filter(good)
     rejects = changes.join(accepted.select("edit_seq"), "edit_seq", "left_anti")
     edits = (
         accepted.filter(~insert).groupBy(F.col("id").alias("cid")).agg(
@@ -137,17 +187,17 @@ def upsert_versions(
             ).alias("new_description"),
         )
     )
-    joined = versions.join(edits, versions["id"] == edits["cid"], "left")
-    updated = joined.select(
+    created = conform(
+        accepted.filter(insert), VERSION_FIELDS, create_time=stamp, update_time=stamp
+    )
+    rows = versions.unionByName(created)
+    updated = rows.join(edits, rows["id"] == edits["cid"], "left").select(
         "id", F.coalesce("new_name", "version_name").alias("version_name"),
         F.coalesce("new_description", "description").alias("description"), "create_time",
         F.when(F.col("cid").isNotNull(), stamp).otherwise(F.col("update_time"))
         .alias("update_time"),
     )
-    created = conform(
-        accepted.filter(insert), VERSION_FIELDS, create_time=stamp, update_time=stamp
-    )
-    return updated.unionByName(created), rejects
+    return updated, rejects
 
 
 def delete_versions(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from billrate.functions.money import MONEY, line_total
 from billrate.operators.ranking import latest_override, next_sort_order
 from billrate.schemas import ITEM_QUOTA_FIELDS, conform
+from billrate.session import stage
 
 
 def _replace(items: DataFrame, edits: DataFrame, flag: str, values: dict[str, Column]) -> DataFrame:
@@ -115,7 +116,8 @@ def add_item_quotas(
     or was added earlier in the batch, is rejected.
     """
     first = additions.groupBy("item_id", "quota_id").agg(F.min("seq").alias("seq"))
-    fresh = (
+    # Five later steps start from these rows.
+    fresh = stage(
         additions.join(first, ["item_id", "quota_id", "seq"], "left_semi")
         .join(
             item_quotas.select(F.col("project_item_id").alias("item_id"), "quota_id"),
@@ -123,9 +125,11 @@ def add_item_quotas(
         )
         .join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
         .join(quotas.select(F.col("id").alias("quota_id")), "quota_id", "left_semi")
+        .select("link_id", "item_id", "quota_id", "seq"),
+        "fresh-links",
     )
     rejects = additions.join(fresh.select("seq"), "seq", "left_anti")
-    placed = next_sort_order(fresh.select("link_id", "item_id", "quota_id", "seq"), item_quotas)
+    placed = next_sort_order(fresh, item_quotas)
     new = placed.join(
         quotas.select(
             F.col("id").alias("quota_id"), "quota_code", "quota_name",

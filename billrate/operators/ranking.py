@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from billrate.session import stage
 
-def _bucket(c: Column, bounds: list[float]) -> Column:
-    """Number of bounds below the value, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(bounds))
+# ``monotonically_increasing_id`` holds the partition above this bit.
+_PART_BIT = 33
+
+
+def in_place(df: DataFrame, out_col: str) -> DataFrame:
+    """Add the 1-based place of each row of a sorted frame.
+
+    The frame is written once with each row's partition and place in it; the
+    partitions are then shifted by the counts of those before them.
+    """
+    placed = stage(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", _PART_BIT)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition, however many rows the frame has.
+    shifts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+    )
+    local = F.col("_at").bitwiseAND(F.lit((1 << _PART_BIT) - 1))
+    return placed.join(F.broadcast(shifts), part == F.col("_part")).select(
+        *[F.col(c) for c in df.columns],
+        (local + F.col("_shift") + 1).cast("bigint").alias(out_col),
+    )
 
 
 def numbered(
@@ -22,35 +37,19 @@ def numbered(
 ) -> DataFrame:
     """Add the 1-based position by ``order_col``, within ``keys`` if given.
 
-    The range of ``order_col`` (numeric, unique within a key) is cut at its
-    quantiles; each piece is numbered on its own and shifted by the counts of
-    the pieces before it.
+    One range-partitioned sort numbers all rows; within keys, the number of
+    the key's first row is taken off.  The sort samples its input first, so
+    stage an input that is costly to work out.
     """
     keys = keys or []
-    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / pieces for i in range(1, pieces)]
-    bounds = sorted(set(df.approxQuantile(order_col, cuts, 0.5 / pieces)))
-    cut = df.withColumn("_piece", _bucket(F.col(order_col), bounds))
-    group = [*keys, "_piece"]
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # At most one row per piece and key.
-    shifts = (
-        cut.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    local = F.row_number().over(Window.partitionBy(*group).orderBy(order_col))
-    right = shifts if keys else F.broadcast(shifts)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in group]
-    return (
-        cut.withColumn("_local", local).alias("l")
-        .join(right.alias("r"), same)
-        .select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            (F.col("l._local") + F.col("r._shift")).cast("bigint").alias(out_col),
-        )
+    placed = in_place(df.orderBy(*keys, order_col), out_col)
+    if not keys:
+        return placed
+    first = placed.groupBy(*keys).agg(F.min(out_col).alias("_first"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return placed.alias("l").join(first.alias("r"), same).select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        (F.col(f"l.{out_col}") - F.col("r._first") + 1).alias(out_col),
     )
 
 

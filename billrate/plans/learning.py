@@ -54,6 +54,28 @@ def match_pairs(matched: DataFrame) -> DataFrame:
     )
 
 
+def manual_pairs(items: DataFrame, overrides: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Pairs set by hand, one for every edit whose item and quota exist, at score 1.
+
+    ``overrides`` is as in ``apply_manual_match``; an edit overruled later in
+    the batch was made all the same and counts.
+    """
+    named = items.select(
+        F.col("id").alias("item_id"), "item_name", F.col("feature_value").alias("item_feature_value")
+    )
+    texts = quotas.select(
+        F.col("id").alias("quota_id"), "quota_name",
+        F.col("feature_value").alias("quota_feature_value"),
+    )
+    return (
+        overrides.select("item_id", "quota_id").join(named, "item_id").join(texts, "quota_id")
+        .select(
+            "item_name", "item_feature_value", "quota_name", "quota_feature_value",
+            F.lit(2).alias("match_type"), F.lit(1.0).alias("match_score"),
+        )
+    )
+
+
 def _both(name: str, feature: str) -> Column:
     return F.concat(T.extract_keywords(F.col(name)), T.extract_keywords(F.col(feature)))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +42,8 @@ def local_session(cpus: int = 8, app: str = "billrate", **conf: str) -> SparkSes
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, as the session names it.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own, which
+    goes when the program ends; the session's settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -47,8 +51,13 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
     root = tempfile.mkdtemp(prefix="billrate-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 

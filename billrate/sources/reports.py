@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from billrate.functions.money import or_blank, or_zero, status_text
 from billrate.operators import summary as S
 from billrate.operators.ranking import with_sequence
+from billrate.session import stage
 
 # Report headings.
 ITEM_HEADINGS = [
@@ -22,7 +23,7 @@ QUOTA_HEADINGS = [
 
 def export_items(items: DataFrame, item_quotas: DataFrame) -> DataFrame:
     """The priced bill of all users, one row per item."""
-    df = S.with_item_quotas(with_sequence(items), item_quotas)
+    df = S.with_item_quotas(with_sequence(stage(items, "bill")), item_quotas)
     multi = F.col("match_status") == 3
     links = F.col("links")
 

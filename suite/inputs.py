@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billrate.functions.money import line_total
-from billrate.schemas import ITEM_FIELDS, ITEM_QUOTA_FIELDS, VERSION_FIELDS, conform
+from billrate.schemas import ITEM_FIELDS, ITEM_QUOTA_FIELDS, RECORD_FIELDS, VERSION_FIELDS, conform
 from billrate.sources import trade_tables as TT
 
 NOW = "2025-01-01 00:00:00"
@@ -93,6 +93,17 @@ def additions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dated_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of match records, several of every day and of every type."""
+    o = TT.read(spark, sf, "orders")
+    days = F.make_dt_interval(days=(F.col("o_orderkey") % 100).cast("int"))
+    return conform(
+        o, RECORD_FIELDS, id=F.col("o_orderkey"), item_name=F.col("o_orderpriority"),
+        match_type=F.col("o_custkey") % 3 + 1,
+        create_time=F.to_timestamp(F.lit("2024-01-01")) + days,
+    )
+
+
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     """One version per brand, dated by its largest part size."""
     part = TT.read(spark, sf, "part").groupBy("p_brand").agg(F.max("p_size").alias("size"))

@@ -230,17 +230,25 @@ SHOWN = (
     "|| quota_code || ' - ' || quota_name || ' (单价: ' || unit_price || '元)', chr(10) ORDER BY "
     "sort_order) AS detail FROM links GROUP BY 1)"
 )
+# Changes one after the other; ``held`` is the list of versions as it stands by then.
 NATION_CHANGES = (
-    f"{VERSIONS}, changes AS (SELECT CASE WHEN n_regionkey < 2 THEN n_nationkey + 100 ELSE "
-    "n_nationkey END AS id, CASE WHEN n_regionkey < 2 THEN 'insert' ELSE 'update' END AS op, "
-    "CASE n_regionkey WHEN 0 THEN 'Brand#' || n_nationkey WHEN 3 THEN ' ' WHEN 4 THEN 'shared' "
-    "ELSE n_name END AS version_name, CASE WHEN n_regionkey <> 2 THEN n_name END AS description, "
+    f"RECURSIVE {VERSIONS}, changes AS (SELECT CASE WHEN n_regionkey < 2 THEN n_nationkey + 100 "
+    "WHEN n_nationkey = 4 THEN 904 WHEN n_nationkey = 19 THEN 9 ELSE n_nationkey END AS id, "
+    "CASE WHEN n_regionkey < 2 THEN 'insert' ELSE 'update' END AS op, "
+    "CASE WHEN n_regionkey = 0 THEN 'Brand#' || (n_nationkey - 3) WHEN n_regionkey = 1 AND "
+    "n_nationkey % 2 = 0 THEN 'Brand#' || n_nationkey WHEN n_regionkey = 3 THEN ' ' WHEN "
+    "n_nationkey = 19 THEN 'moved' WHEN n_regionkey = 4 THEN 'shared' ELSE n_name END AS "
+    "version_name, CASE WHEN n_regionkey <> 2 THEN n_name END AS description, "
     "CAST(n_nationkey AS BIGINT) AS edit_seq FROM nation), "
-    "ok AS (SELECT c.* FROM changes c WHERE (op = 'insert' AND trim(version_name) <> '' OR op = "
-    "'update' AND id IN (SELECT id FROM versions)) AND NOT (trim(version_name) <> '' AND ("
-    "EXISTS (SELECT 1 FROM versions v WHERE v.version_name = c.version_name AND (v.id <> c.id OR "
-    "c.op = 'insert')) OR EXISTS (SELECT 1 FROM changes d WHERE d.version_name = c.version_name AND "
-    "d.edit_seq < c.edit_seq AND d.id <> c.id))))"
+    "queue AS (SELECT *, row_number() OVER (ORDER BY edit_seq) AS k, trim(version_name) <> '' AS "
+    "named FROM changes), steps AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list({'i': CAST(id AS "
+    "BIGINT), 'n': version_name}) FROM versions) AS held, false AS fine UNION ALL SELECT t.k, CASE "
+    "WHEN t.fine AND t.named THEN list_append(list_filter(t.held, lambda h: h.i <> t.id), "
+    "{'i': CAST(t.id AS BIGINT), 'n': t.version_name}) ELSE t.held END, t.fine FROM (SELECT q.*, "
+    "s.held, CASE WHEN q.op = 'insert' THEN q.named ELSE len(list_filter(s.held, lambda h: h.i = "
+    "q.id)) > 0 END AND NOT (q.named AND len(list_filter(s.held, lambda h: h.n = q.version_name AND "
+    "(h.i <> q.id OR q.op = 'insert'))) > 0) AS fine FROM steps s JOIN queue q ON q.k = s.k + 1) t), "
+    "ok AS (SELECT q.* FROM queue q JOIN steps s USING (k) WHERE s.fine)"
 )
 SUPPLIER_CHANGES = (
     "changes AS (SELECT CASE WHEN s_nationkey < 5 THEN -s_suppkey - 1 WHEN s_nationkey = 24 THEN "
@@ -391,6 +399,19 @@ def _table():
         "total_price, CASE WHEN price IS NULL THEN match_status ELSE 2 END AS match_status "
         "FROM settled LEFT JOIN last ON item_id = id"
     )
+    o["price_override_links"] = (
+        f"{full()} SELECT id, project_item_id, quota_id FROM links WHERE project_item_id NOT IN "
+        "(SELECT item_id FROM edits)"
+    )
+    o["price_override_rejects"] = (
+        f"{full()} SELECT item_id, price, edit_seq FROM edits WHERE item_id NOT IN (SELECT id FROM "
+        "settled)"
+    )
+    shown = "SELECT id, project_item_id, sort_order FROM links WHERE"
+    o["remove_item_quotas_links"] = f"{full()}, {BIG_LINKS} {shown} id NOT IN (SELECT id FROM big)"
+    o["clear_item_quotas_links"] = (
+        f"{full()}, {BIG_LINKS} {shown} project_item_id NOT IN (SELECT project_item_id FROM big)"
+    )
     o["add_item_quotas"] = f"{full()}, {FRESH} SELECT * FROM all_links"
     o["add_item_quotas_items"] = (
         f"{full()}, {FRESH}, "
@@ -424,7 +445,8 @@ def _table():
         "project_item_id = item_id"
     )
     o["links_of_item"] = (
-        f"{full()} SELECT id, sort_order, quota_code FROM links WHERE project_item_id = (SELECT "
+        f"{full()} SELECT id, sort_order, quota_code, row_number() OVER (ORDER BY sort_order, id) AS "
+        "position FROM links WHERE project_item_id = (SELECT "
         "min(project_item_id) FROM links)"
     )
     o["mark_added"] = (
@@ -460,7 +482,11 @@ def _table():
     o["with_sequence"] = (
         f"WITH {items()} SELECT id, row_number() OVER (ORDER BY id) AS seq_no FROM items"
     )
-    o["newest_versions"] = f"WITH {VERSIONS} SELECT id, version_name FROM versions"
+    o["newest_versions"] = (
+        f"WITH {VERSIONS} SELECT id, version_name, row_number() OVER (ORDER BY size DESC, id) AS "
+        "position FROM versions JOIN (SELECT p_brand AS version_name, max(p_size) AS size FROM part "
+        "GROUP BY 1) USING (version_name)"
+    )
     o["learning_pairs"] = learned(
         "z AS (SELECT 1) SELECT item_name, item_feature_value, match_type, quota_name, "
         "quota_feature_value, match_score FROM paired"
@@ -474,8 +500,53 @@ def _table():
         f"match_score, match_type, learning_weight, {as_json('item_keywords')}, "
         f"{as_json('quota_keywords')}, {as_json('common_keywords')} FROM records"
     )
-    o["records_by_type"] = learned(
-        "z AS (SELECT 1) SELECT item_name, quota_name FROM records WHERE match_type = 2"
+    o["records_by_type"] = (
+        "SELECT o_orderkey AS id, strftime(DATE '2024-01-01' + CAST(o_orderkey % 100 AS INTEGER), "
+        "'%Y-%m-%d') AS day, row_number() OVER (ORDER BY o_orderkey % 100 DESC, o_orderkey) AS "
+        "position FROM orders WHERE o_custkey % 3 + 1 = 2"
+    )
+    scoped = (
+        f"WITH {base()}, v AS (SELECT * FROM quotas WHERE version_id = 5), u AS (SELECT * FROM settled "
+        f"WHERE user_id = 7), {texts().replace('FROM items', 'FROM u').replace('FROM quotas', 'FROM v')}, "
+        f"{X.scored_ctes('it', 'qt')}, best AS (SELECT * FROM scored QUALIFY row_number() OVER "
+        "(PARTITION BY n, f ORDER BY CASE WHEN s >= 0.8 THEN 0 ELSE 1 END, CASE WHEN s >= 0.8 THEN 0 "
+        "ELSE -s END, qid) = 1), won AS (SELECT u.id, b.qid FROM u JOIN best b ON b.s >= 0.3 AND b.n = "
+        f"{X.jtrim('u.item_name')} AND b.f = {X.jtrim('u.feature_value')} WHERE {ELIGIBLE}) "
+        "SELECT u.id, CASE WHEN v.id IS NULL THEN {0} matched_quota_id ELSE v.id END AS "
+        "matched_quota_id, CASE WHEN v.id IS NULL THEN {0} matched_quota_code ELSE v.quota_code END AS "
+        "matched_quota_code, CASE WHEN v.id IS NULL THEN {0} matched_quota_name ELSE v.quota_name END "
+        "AS matched_quota_name, CASE WHEN v.id IS NULL THEN {0} matched_quota_feature_value ELSE "
+        "v.feature_value END AS matched_quota_feature_value, CASE WHEN v.id IS NULL THEN {0} "
+        "matched_unit_price ELSE v.unit_price END AS matched_unit_price, CASE WHEN v.id IS NULL THEN "
+        "{0} u.total_price ELSE coalesce(CAST(u.quantity * v.unit_price AS DECIMAL(18,2)), "
+        "u.total_price) END AS total_price, CAST(CASE WHEN v.id IS NOT NULL THEN 1 WHEN "
+        "coalesce(match_status, 0) IN (2, 3) THEN match_status ELSE 0 END AS INTEGER) AS match_status "
+        "FROM u LEFT JOIN won w ON w.id = u.id LEFT JOIN v ON v.id = w.qid"
+    )
+    by_hand = "CASE WHEN coalesce(match_status, 0) NOT IN (2, 3) THEN NULL ELSE"
+    o["match_items_scoped"] = scoped.replace("{0} ", "")
+    cleared = scoped
+    for c in (
+        "matched_quota_id", "matched_quota_code", "matched_quota_name",
+        "matched_quota_feature_value", "matched_unit_price", "u.total_price",
+    ):
+        cleared = cleared.replace(f"{{0}} {c} ELSE", f"{by_hand} {c} END ELSE")
+    o["match_items_cleared"] = cleared
+    o["matched_records"] = (
+        f"SELECT i.item_name, m.matched_quota_name AS quota_name, 1 AS match_type, m.score AS "
+        f"match_score, 0.5::DOUBLE AS learning_weight FROM ({match(False)}) m JOIN (WITH {items()} "
+        "SELECT id, item_name FROM items) i USING (id) WHERE m.score IS NOT NULL"
+    )
+    o["manual_match_records"] = (
+        f"{full()}, paired AS (SELECT i.item_name, i.feature_value AS item_feature_value, q.quota_name, "
+        "q.feature_value AS quota_feature_value FROM edits e JOIN items i ON i.id = e.item_id JOIN "
+        "quotas q ON q.id = e.quota_id), "
+        + RECORDS[RECORDS.index("words AS"):RECORDS.index("CASE WHEN match_type")]
+        + "1.0::DOUBLE AS learning_weight FROM paired p JOIN words a ON a.t = item_name JOIN words b "
+        "ON b.t = item_feature_value JOIN words c ON c.t = quota_name JOIN words d ON d.t = "
+        "quota_feature_value), " + RECORDS[RECORDS.index("records AS"):]
+        + " SELECT item_name, item_feature_value, quota_name, quota_feature_value, 1.0::DOUBLE AS "
+        f"match_score, 2 AS match_type, learning_weight, {as_json('common_keywords')} FROM records"
     )
     o["keyword_weights"] = learned(
         f"{WEIGHTS} SELECT keyword, round(weight, 9) AS weight, match_count, total_count, "
@@ -490,7 +561,8 @@ def _table():
         "UNION ALL SELECT 'rule', keyword, round(confidence, 9) FROM rules"
     )
     o["top_keywords"] = learned(
-        f"{WEIGHTS} SELECT keyword, round(weight, 9) AS weight, match_count, total_count FROM "
+        f"{WEIGHTS} SELECT keyword, round(weight, 9) AS weight, match_count, total_count, "
+        "row_number() OVER (ORDER BY weights.weight DESC, keyword) AS position FROM "
         "weights ORDER BY weights.weight DESC, keyword LIMIT 20"
     )
     o["synonym_map"] = learned(
@@ -498,10 +570,12 @@ def _table():
         "FROM rules WHERE confidence > 0.7"
     )
     o["rules_above"] = learned(
-        f"{RULES} SELECT keyword AS source_text FROM rules WHERE confidence > 0.71"
+        f"{RULES} SELECT keyword AS source_text, row_number() OVER (ORDER BY confidence DESC, keyword) "
+        "AS position FROM rules WHERE confidence > 0.71"
     )
     o["synonym_listing"] = learned(
-        f"{RULES} SELECT keyword AS source_text, 0 AS usage_count FROM rules"
+        f"{RULES} SELECT keyword AS source_text, 0 AS usage_count, row_number() OVER (ORDER BY "
+        "confidence DESC, keyword) AS position FROM rules"
     )
     total = f"list_sum(list_transform({{}}, lambda x: {LIST_WEIGHTS}))"
     o["weighted_similarity"] = (
@@ -569,10 +643,11 @@ def _table():
         "supplier)"
     )
     o["upsert_versions"] = (
-        f"WITH {NATION_CHANGES} SELECT v.id, CASE WHEN trim(o.version_name) <> '' THEN o.version_name "
-        "ELSE v.version_name END AS version_name, coalesce(o.description, v.description) AS "
-        "description FROM versions v LEFT JOIN ok o ON o.id = v.id AND o.op = 'update' UNION ALL "
-        "SELECT id, version_name, description FROM ok WHERE op = 'insert'"
+        f"WITH {NATION_CHANGES}, born AS (SELECT id, version_name, description FROM versions UNION ALL "
+        "SELECT id, version_name, description FROM ok WHERE op = 'insert'), last AS (SELECT id, "
+        "arg_max(version_name, edit_seq) FILTER (named) AS n, arg_max(description, edit_seq) AS d "
+        "FROM ok WHERE op = 'update' GROUP BY id) SELECT b.id, coalesce(n, version_name) AS "
+        "version_name, coalesce(d, description) AS description FROM born b LEFT JOIN last USING (id)"
     )
     o["upsert_versions_rejects"] = (
         f"WITH {NATION_CHANGES} SELECT id, op, edit_seq FROM changes WHERE edit_seq NOT IN (SELECT "
@@ -589,6 +664,27 @@ def _table():
         f"{full()} SELECT id, user_id FROM settled WHERE NOT (user_id = 7 AND id IN (SELECT item_id "
         "FROM edits))"
     )
+    o["delete_versions_kept"] = (
+        f"WITH {VERSIONS} SELECT id, version_name FROM versions WHERE id NOT IN {old}"
+    )
+    o["delete_items_links"] = (
+        f"{full()} SELECT id, project_item_id FROM links WHERE project_item_id NOT IN (SELECT id FROM "
+        "settled WHERE user_id = 7 AND id IN (SELECT item_id FROM edits))"
+    )
+    o["clear_items"] = (
+        "SELECT 'items' AS kept, 0 AS n_rows UNION ALL SELECT 'links', 0 UNION ALL SELECT 'quotas', "
+        "count(*) FROM part"
+    )
+    o["stored_quotas"] = (
+        f"WITH {quotas()} SELECT id, quota_code, unit_price, version_id FROM quotas WHERE "
+        "version_id = 5"
+    )
+    o["save_replacement_sets"] = (
+        "SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS nation FROM customer"
+    )
+    o["delete_replacement_sets"] = (
+        "SELECT c_custkey AS id FROM customer WHERE c_nationkey BETWEEN 5 AND 20"
+    )
     o["parse_replacements"] = (
         f"WITH {RULE_TEXT} SELECT c_custkey, '${{name}}' AS k, name AS v FROM r UNION ALL SELECT "
         "c_custkey, '${seg}', seg FROM r UNION ALL SELECT c_custkey, '${nation}', nation FROM r"

@@ -22,6 +22,7 @@ from billrate.plans.templates import render_batch
 from billrate.session import stage, staging_root
 from billrate.sources import imports as IM
 from billrate.sources import reports as RP
+from billrate.sources import tables as TB
 from billrate.sources import trade_tables as TT
 from suite import inputs as IN
 
@@ -86,6 +87,24 @@ def top_candidates(spark, sf):
     )
 
 
+@query
+def match_items_scoped(spark, sf):
+    """One user's settled bill against one version; earlier values stay where nothing matches."""
+    out = MA.match_items(
+        IN.settled_items(spark, sf), TT.quotas(spark, sf), version_id=5, user_id=7
+    )
+    return out.select(*ITEM_VIEW)
+
+
+@query
+def match_items_cleared(spark, sf):
+    out = MA.match_items(
+        IN.settled_items(spark, sf), TT.quotas(spark, sf), version_id=5, user_id=7,
+        clear_stale=True,
+    )
+    return out.select(*ITEM_VIEW)
+
+
 @query
 def match_summary(spark, sf):
     return SM.match_summary(IN.settled_items(spark, sf))
@@ -282,6 +301,18 @@ def price_override(spark, sf):
     return out.select(*ITEM_VIEW)
 
 
+@query
+def price_override_links(spark, sf):
+    _, kept, _ = PR.apply_price_override(*_base(spark, sf), IN.edits(spark, sf))
+    return kept.select("id", "project_item_id", "quota_id")
+
+
+@query
+def price_override_rejects(spark, sf):
+    _, _, bad = PR.apply_price_override(*_base(spark, sf), IN.edits(spark, sf))
+    return bad.select("item_id", "price", "edit_seq")
+
+
 @query
 def add_item_quotas(spark, sf):
     items, links = _base(spark, sf)
@@ -332,6 +363,19 @@ def clear_item_quotas(spark, sf):
     return out.select(*ITEM_VIEW)
 
 
+@query
+def remove_item_quotas_links(spark, sf):
+    _, kept = PR.remove_item_quotas(*_base(spark, sf), _some_links(spark, sf).select("id"))
+    return kept.select("id", "project_item_id", "sort_order")
+
+
+@query
+def clear_item_quotas_links(spark, sf):
+    ids = _some_links(spark, sf).select(F.col("project_item_id").alias("item_id"))
+    _, kept = PR.clear_item_quotas(*_base(spark, sf), ids)
+    return kept.select("id", "project_item_id", "sort_order")
+
+
 @query
 def reprice_multi(spark, sf):
     items, links = _base(spark, sf)
@@ -364,10 +408,9 @@ def next_sort_order(spark, sf):
 @query
 def links_of_item(spark, sf):
     links = IN.item_quotas(spark, sf)
-    first = links.agg(F.min("project_item_id").alias("project_item_id"))
-    return links.join(first, "project_item_id", "left_semi").select(
-        "id", "sort_order", "quota_code"
-    )
+    item = links.agg(F.min("project_item_id")).first()[0]
+    shown = RK.links_in_order(links, item).select("id", "sort_order", "quota_code")
+    return RK.in_place(shown, "position")
 
 
 @query
@@ -409,7 +452,8 @@ def with_sequence(spark, sf):
 
 @query
 def newest_versions(spark, sf):
-    return RK.newest_first(IN.versions(spark, sf), "create_time").select("id", "version_name")
+    shown = RK.newest_first(IN.versions(spark, sf), "create_time").select("id", "version_name")
+    return RK.in_place(shown, "position")
 
 
 # --- learning ---------------------------------------------------------------
@@ -438,9 +482,32 @@ def match_records(spark, sf):
     )
 
 
+@query
+def manual_match_records(spark, sf):
+    """What manual matches teach: one record for each edit that named known rows."""
+    pairs = LN.manual_pairs(TT.items(spark, sf), IN.edits(spark, sf), TT.quotas(spark, sf))
+    return LN.collect_match_records(pairs, IN.NOW).select(
+        "item_name", "item_feature_value", "quota_name", "quota_feature_value", "match_score",
+        "match_type", "learning_weight", F.to_json("common_keywords").alias("common_keywords"),
+    )
+
+
+@query
+def matched_records(spark, sf):
+    """What an automatic match teaches."""
+    matched = MA.match_items(TT.items(spark, sf), TT.quotas(spark, sf), with_score=True)
+    return LN.collect_match_records(LN.match_pairs(matched), IN.NOW).select(
+        "item_name", "quota_name", "match_type", F.round("match_score", 9).alias("match_score"),
+        "learning_weight",
+    )
+
+
 @query
 def records_by_type(spark, sf):
-    return FL.records_by_type(_records(spark, sf), 2).select("item_name", "quota_name")
+    shown = FL.records_by_type(IN.dated_records(spark, sf), 2).select("id", "create_time")
+    return RK.in_place(shown, "position").select(
+        "id", F.date_format("create_time", "yyyy-MM-dd").alias("day"), "position"
+    )
 
 
 @query
@@ -484,9 +551,10 @@ def run_learning(spark, sf):
 
 @query
 def top_keywords(spark, sf):
-    return RK.top_keywords(_weights(spark, sf)).select(
+    shown = RK.top_keywords(_weights(spark, sf)).select(
         "keyword", F.round("weight", 9).alias("weight"), "match_count", "total_count"
     )
+    return RK.in_place(shown, "position")
 
 
 @query
@@ -498,12 +566,14 @@ def synonym_map(spark, sf):
 
 @query
 def rules_above(spark, sf):
-    return FL.rules(_rules(spark, sf), "synonym", 0.71).select("source_text")
+    shown = FL.rules(_rules(spark, sf), "synonym", 0.71).select("source_text")
+    return RK.in_place(shown, "position")
 
 
 @query
 def synonym_listing(spark, sf):
-    return LN.synonym_listing(_rules(spark, sf)).select("source_text", "usage_count")
+    shown = LN.synonym_listing(_rules(spark, sf)).select("source_text", "usage_count")
+    return RK.in_place(shown, "position")
 
 
 @query
@@ -625,15 +695,21 @@ def delete_quotas(spark, sf):
 
 
 def _version_changes(spark, sf):
+    """New and renamed versions: some names are borne, set free, or claimed in vain before."""
     n = TT.read(spark, sf, "nation")
     key = F.col("n_nationkey").cast("bigint")
     r = F.col("n_regionkey")
+
+    def brand(k):
+        return F.concat(F.lit("Brand#"), k.cast("string"))
+
     return n.select(
-        F.when(r < 2, key + 100).otherwise(key).alias("id"),
+        F.when(r < 2, key + 100).when(key == 4, key + 900).when(key == 19, 9).otherwise(key)
+        .alias("id"),
         F.when(r < 2, "insert").otherwise("update").alias("op"),
-        F.when(r == 0, F.concat(F.lit("Brand#"), key.cast("string")))
-        .when(r == 3, " ").when(r == 4, "shared").otherwise(F.col("n_name"))
-        .alias("version_name"),
+        F.when(r == 0, brand(key - 3)).when((r == 1) & (key % 2 == 0), brand(key))
+        .when(r == 3, " ").when(key == 19, "moved").when(r == 4, "shared")
+        .otherwise(F.col("n_name")).alias("version_name"),
         F.when(r != 2, F.col("n_name")).alias("description"), key.alias("edit_seq"),
     )
 
@@ -664,6 +740,14 @@ def delete_versions(spark, sf):
     return quotas.select("id", "version_id")
 
 
+@query
+def delete_versions_kept(spark, sf):
+    kept, _, _ = MT.delete_versions(
+        IN.versions(spark, sf), TT.quotas(spark, sf), _old_versions(spark, sf)
+    )
+    return kept.select("id", "version_name")
+
+
 @query
 def delete_versions_count(spark, sf):
     _, _, n = MT.delete_versions(
@@ -680,9 +764,61 @@ def delete_items(spark, sf):
     return out.select("id", "user_id")
 
 
+@query
+def delete_items_links(spark, sf):
+    ids = IN.edits(spark, sf).select(F.col("item_id").alias("id"))
+    _, kept = MT.delete_items(*_base(spark, sf), ids, 7)
+    return kept.select("id", "project_item_id")
+
+
+@query
+def clear_items(spark, sf):
+    """Rows left by table once the bill is emptied."""
+    bill, links = MT.clear_items(*_base(spark, sf))
+    left = {"items": bill, "links": links, "quotas": TT.quotas(spark, sf)}
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("kept"), "n_rows")
+        for k, df in left.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def stored_quotas(spark, sf):
+    """One version of the catalogue, stored by version and read back."""
+    root = f"{staging_root(spark)}/store-{uuid.uuid4().hex}"
+    TB.write_table(TT.quotas(spark, sf), root, "quotas")
+    kept = FL.scope_version(TB.read_table(spark, root, "quotas"), 5)
+    return kept.select("id", "quota_code", "unit_price", F.col("version_id").cast("bigint").alias("version_id"))
+
+
 # --- templates --------------------------------------------------------------
 
 
+def _replacement_sets(spark, sf):
+    """Stored replacement sets, and those of some customers still to be stored."""
+    sets = IN.value_rules(spark, sf).select(
+        F.col("c_custkey").alias("id"), "c_nationkey",
+        F.to_json(TP.parse_replacements(F.col("rules"))).alias("replacements"),
+    )
+    late = F.col("c_nationkey") < 5
+    return sets.filter(~late), sets.filter(late)
+
+
+@query
+def save_replacement_sets(spark, sf):
+    return MT.save_replacement_sets(*_replacement_sets(spark, sf)).select(
+        "id", F.get_json_object("replacements", "$['${nation}']").alias("nation")
+    )
+
+
+@query
+def delete_replacement_sets(spark, sf):
+    old, _ = _replacement_sets(spark, sf)
+    return MT.delete_replacement_sets(old, old.filter("c_nationkey > 20").select("id")).select("id")
+
+
+
 @query
 def parse_replacements(spark, sf):
     parsed = TP.parse_replacements(F.col("rules"))

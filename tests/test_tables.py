@@ -240,6 +240,40 @@ def test_patch_and_versions(spark, items):
     assert sorted(r["edit_seq"] for r in bad.collect()) == [2, 3]
 
 
+def test_versions_judged_in_order(spark):
+    versions = spark.sql(
+        "select id, concat('v', id) version_name, 'd' description, timestamp'2024-01-01' create_time, "
+        "timestamp'2024-01-01' update_time from (select explode(array(1L, 2L, 3L)) id)"
+    )
+    changes = spark.createDataFrame(
+        [("update", 999, "X", None, 1), ("insert", 50, "X", None, 2),   # a refused claim is none
+         ("update", 1, "Y", None, 3), ("insert", 51, "v1", None, 4),    # a rename frees the name
+         ("update", 2, "v3", None, 5), ("update", 3, "Z", None, 6), ("update", 2, "v3", "e", 7),
+         ("update", 50, "W", "f", 8), ("insert", 52, "X", None, 9),     # of a version of this batch
+         ("update", 53, None, "g", 10), ("insert", 53, "V", None, 11), ("update", 53, " ", "h", 12),
+         ("insert", 54, "Y", None, 13), ("insert", 55, None, None, 14), ("insert", 56, "U", None, None)],
+        "op string, id bigint, version_name string, description string, edit_seq bigint",
+    )
+    out, bad = MT.upsert_versions(versions, changes, "2025-01-01 00:00:00")
+    got = {r["id"]: (r["version_name"], r["description"]) for r in out.collect()}
+    assert got == {
+        1: ("Y", "d"), 2: ("v3", "e"), 3: ("Z", "d"), 50: ("W", "f"), 51: ("v1", None),
+        52: ("X", None), 53: ("V", "h"),
+    }
+    assert sorted((r["edit_seq"] or 0) for r in bad.collect()) == [0, 1, 5, 10, 13, 14]
+
+
+def test_numbering_within_keys_and_pieces(spark):
+    df = spark.range(20_000).selectExpr(
+        "id * 7919 % 20000 as o", "if(id % 3 = 0, null, if(id % 5 = 0, 'b', 'hot')) as k"
+    ).repartition(7)
+    got = RK.numbered(df, "o", "n", ["k"]).collect()
+    for key in (None, "b", "hot"):
+        group = sorted((r["o"], r["n"]) for r in got if r["k"] == key)
+        assert [n for _, n in group] == list(range(1, len(group) + 1))
+    assert RK.numbered(df.limit(0), "o", "n", ["k"]).count() == 0
+
+
 def test_replacement_sets(spark):
     sets = spark.sql("select 1L id, 'a' template_name union all select 2L, 'b'")
     more = MT.save_replacement_sets(sets, spark.sql("select 3L id, 'c' template_name"))
