@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 # A table may be sent whole to every executor only below these bounds.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -80,10 +81,16 @@ def stage_together(**frames: DataFrame) -> list[DataFrame]:
         return [job.result() for job in jobs]
 
 
-def broadcast_if_small(staged: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for a staged table whose counted rows are few.
+def broadcast_if_small(
+    staged: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Broadcast hint for a staged table with few rows and few bytes.
 
-    The count reads only file footers.  Larger tables stay unhinted and are
-    joined by a shuffle.
+    The count reads only file footers; the bytes are measured, as JSON, only
+    where the rows are few.  Larger tables stay unhinted and are joined by a
+    shuffle, or as the optimizer sees fit from the files' size.
     """
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    if staged.count() > max_rows:
+        return staged
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    return F.broadcast(staged) if (staged.agg(size).first()[0] or 0) <= max_bytes else staged

@@ -447,7 +447,7 @@ def export_quotas(spark, sf):
 
 @query
 def with_sequence(spark, sf):
-    return RK.with_sequence(TT.items(spark, sf)).select("id", "seq_no")
+    return RK.with_sequence(TT.items(spark, sf).select("id"))
 
 
 @query
