@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billrate.functions.money import line_total
-from billrate.schemas import ITEM_FIELDS, ITEM_QUOTA_FIELDS, RECORD_FIELDS, VERSION_FIELDS, conform
+from billrate.schemas import ITEM_FIELDS, ITEM_QUOTA_FIELDS, QUOTA_FIELDS, RECORD_FIELDS, VERSION_FIELDS, conform
 from billrate.sources import trade_tables as TT
 
 NOW = "2025-01-01 00:00:00"
@@ -75,6 +75,23 @@ def item_quotas(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A bill and a catalogue whose texts nearly all differ: what users say, and all other turns."""
+    said = TT.read(spark, sf, "conversations").withColumn(
+        "id", F.col("conv_id").cast("bigint") * 1000 + F.col("turn")
+    )
+    user = F.col("role") == "user"
+    items = conform(
+        said.filter(user), ITEM_FIELDS, item_name=F.col("text"), unit=F.lit("EA"),
+        quantity=F.col("turn") + 1, match_status=F.lit(0),
+    )
+    quotas = conform(
+        said.filter(~user), QUOTA_FIELDS, quota_code=F.col("role"), quota_name=F.col("text"),
+        unit_price=F.length("text"),
+    )
+    return items, quotas
+
+
 def edits(spark: SparkSession, sf: str) -> DataFrame:
     """One edit per order: some orders hit the same item, some a missing one."""
     o = TT.read(spark, sf, "orders")

@@ -523,6 +523,20 @@ def _table():
         "coalesce(match_status, 0) IN (2, 3) THEN match_status ELSE 0 END AS INTEGER) AS match_status "
         "FROM u LEFT JOIN won w ON w.id = u.id LEFT JOIN v ON v.id = w.qid"
     )
+    o["match_turns"] = (
+        "WITH said AS (SELECT conv_id * 1000 + turn AS id, role, turn, text FROM conversations), "
+        "items AS (SELECT id, text AS item_name, CAST(NULL AS VARCHAR) AS feature_value, 'EA' AS unit, "
+        f"CAST(turn + 1 AS {MONEY}) AS quantity, 0 AS match_status FROM said WHERE role = 'user'), "
+        "quotas AS (SELECT id, role AS quota_code, text AS quota_name, CAST(NULL AS VARCHAR) AS "
+        f"feature_value, CAST(length(text) AS {MONEY}) AS unit_price FROM said WHERE role "
+        f"<> 'user'), {texts()}, {X.scored_ctes('it', 'qt')}, best AS (SELECT * FROM scored "
+        "QUALIFY row_number() OVER (PARTITION BY n, f ORDER BY CASE WHEN s >= 0.8 THEN 0 ELSE 1 END, "
+        "CASE WHEN s >= 0.8 THEN 0 ELSE -s END, qid) = 1) SELECT i.id, q.id AS matched_quota_id, "
+        f"q.quota_code AS matched_quota_code, CAST(i.quantity * q.unit_price AS {MONEY}) AS "
+        "total_price, CAST(CASE WHEN q.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS match_status, "
+        f"round(b.s, 9) AS score FROM items i LEFT JOIN best b ON b.s >= 0.3 AND b.n = "
+        f"{X.jtrim('i.item_name')} LEFT JOIN quotas q ON q.id = b.qid"
+    )
     by_hand = "CASE WHEN coalesce(match_status, 0) NOT IN (2, 3) THEN NULL ELSE"
     o["match_items_scoped"] = scoped.replace("{0} ", "")
     cleared = scoped

@@ -87,6 +87,15 @@ def top_candidates(spark, sf):
     )
 
 
+@query
+def match_turns(spark, sf):
+    out = MA.match_items(*IN.turns(spark, sf), with_score=True)
+    return out.select(
+        "id", "matched_quota_id", "matched_quota_code", "total_price", "match_status",
+        F.round("match_score", 9).alias("score"),
+    )
+
+
 @query
 def match_items_scoped(spark, sf):
     """One user's settled bill against one version; earlier values stay where nothing matches."""
