@@ -13,7 +13,8 @@ lines; all later copies of one document, joined where they overlap, are its maxi
 repeated runs, and they are deleted.
 
 ``min_lines`` is the shortest run, a power of two, as intervals are known at such depths;
-a longer run of any length is covered by overlapping copies of that depth.
+a longer run of any length is covered by overlapping copies of that depth.  A line of more
+than fifty words is a passage by itself and counts as a run, whatever stands around it.
 
 Null and blank texts have no lines and stay as they are.  Rows equal in id and text are one
 document and are cut alike; a null id comes first in the order.  A document of which
@@ -29,21 +30,22 @@ from billrate.llm.common import doc_key
 from billrate.session import stage
 
 MIN_LINES = 2
+LONG = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){50}[^\x20\x09-\x0D]"
 END = -1
 POS = ["dk", "tk", "i"]
 
 
 def line_sequences(docs: DataFrame) -> DataFrame:
     """One row per non-blank line: document key, i (place among them), n (their number),
-    o (place among all lines) and the line's name (a, b)."""
+    o (place among all lines), the line's name (a, b) and whether it is ``long``."""
     line = F.transform(
         F.split("text", "\n", -1),
         lambda x, o: F.struct(o.alias("o"), F.xxhash64(x).alias("a"), F.xxhash64(F.reverse(x), x).alias("b"),
-                              x.rlike(r"[^\x20\x09-\x0D]").alias("full")),
+                              x.rlike(r"[^\x20\x09-\x0D]").alias("full"), x.rlike(LONG).alias("long")),
     )
     lines = docs.select(*doc_key(), F.filter(line, lambda s: s["full"]).alias("lines"))
     return lines.select("dk", "tk", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "s")).select(
-        "dk", "tk", "i", "n", "s.o", "s.a", "s.b"
+        "dk", "tk", "i", "n", "s.o", "s.a", "s.b", "s.long"
     )
 
 
@@ -71,8 +73,9 @@ def _ranked(suffixes: DataFrame, by: list[str], label: str) -> DataFrame:
     intervals = _intervals(suffixes, by, label)
     here = F.struct("dk", "tk", "i")
     return stage(
-        suffixes.join(intervals, by).select("dk", "tk", "i", "n", "o", F.col("rank").alias("r"), (here > F.col("first")).alias("later")),
-        label,
+        suffixes.join(intervals, by).select(
+            "dk", "tk", "i", "n", "o", "long", F.col("rank").alias("r"), (here > F.col("first")).alias("later")
+        ), label,
     )
 
 
@@ -100,14 +103,13 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         raise ValueError("min_lines is a power of two")
     copies = None
     for depth, suffixes in suffix_intervals(docs):
-        if depth < min_lines:
+        if 1 < depth < min_lines:
             continue
-        late = suffixes.filter(F.col("later") & (F.col("n") - F.col("i") >= min_lines)).select(
+        enough = F.col("n") - F.col("i") >= min_lines if depth >= min_lines else F.col("long")
+        late = suffixes.filter(F.col("later") & enough).select(
             "dk", "tk", "i", F.least(F.lit(depth), F.col("n") - F.col("i")).alias("h")
         )
         copies = late if copies is None else copies.unionByName(late)
-    if copies is None:
-        copies = suffixes.filter("false").select("dk", "tk", "i", F.lit(0).alias("h"))
     deepest = copies.groupBy(*POS).agg(F.max("h").alias("h"))
     doc = Window.partitionBy("dk", "tk").orderBy("i")
     reach = F.max(F.col("i") + F.col("h")).over(doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -87,6 +87,10 @@ WITH split_ AS (
     SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS copy FROM pairs WHERE next_line IS NOT NULL
 ), gone AS (
     SELECT doc_id, i FROM firsts WHERE copy > 1 UNION SELECT doc_id, i + 1 FROM firsts WHERE copy > 1
+    UNION SELECT doc_id, i FROM (  -- a line of more than fifty words is a passage by itself
+        SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS copy FROM full_
+        WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
+    ) WHERE copy > 1
 ), marked AS (
     SELECT f.doc_id, f.o, f.i, g.i IS NOT NULL AS cut FROM full_ f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.i = g.i
 ), every_ AS (  -- a blank line goes if the non-blank lines on both sides go as one run

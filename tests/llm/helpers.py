@@ -56,7 +56,7 @@ def simhash_groups(rows):
 
 def cut_lines(rows, window=2):
     """Texts without lines that lie in a window of lines seen before, ids in order."""
-    seen, out = set(), {}
+    seen, long, out = set(), set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         if text is None:
             out[i] = None
@@ -69,6 +69,11 @@ def cut_lines(rows, window=2):
             if key in seen:
                 gone.update(range(s, s + window))
             seen.add(key)
+        for s, k in enumerate(full):  # a line of more than fifty words is a passage by itself
+            if len(re.findall(r"[^\x20\x09-\x0D]+", lines[k])) > 50:
+                if lines[k] in long:
+                    gone.add(s)
+                long.add(lines[k])
         drop = {full[s] for s in gone}
         for s in range(len(full) - 1):  # blank lines inside a run go with it
             if s in gone and s + 1 in gone:

@@ -175,8 +175,11 @@ def test_line_runs_equal_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "dd", f"u{i}"]) for _ in range(rng.randrange(25)))) for i in range(60)]
     rows += [(100 + k, rows[k][1]) for k in range(5)] + [(200, None)]
+    words = [" \t".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (50, 51, 51, 400)]
+    rows += [(300 + k, f"o{k}\n{words[k % 4]}\np{k}") for k in range(12)] + [(400, words[1]), (401, f" {words[1]}")]
     got = {r.doc_id: r.text for r in linedup.cut_runs(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == cut_lines(rows)
+    assert got[308] == f"o8\n{words[0]}\np8" and got[309] == "o9\np9" and got[400] == ""
     got = {r.doc_id: r.text for r in linedup.cut_runs(spark.createDataFrame(rows, DOCS), 4).collect()}
     assert got == cut_lines(rows, 4)
 
