@@ -62,6 +62,34 @@ def _own_folder() -> str:
     return root
 
 
+# Paths of the tables this program has staged.
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove all tables that this program has staged, and say how many.
+
+    To be called once the results built on them are written, as they can no
+    longer be read afterwards.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _staged:
+        path = paths(_staged.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt evenly before a step that costs far more than their bytes suggest.
+
+    The partition number is given, or AQE would merge small rows into a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -70,6 +98,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
