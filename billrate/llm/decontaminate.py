@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become lower-cased words, each with a 64-bit hash.  A seed is a fixed mask over
-twelve places; its hash sums the words under the ones and ignores the rest, so a
-substituted word under a zero does not break it.  The benchmark's seed hashes set bits
+Texts become lower-cased words, each with a 64-bit hash.  A seed is a fixed mask over a few
+places; its hash sums the words under the ones and ignores the rest, so a substituted word
+under a zero does not break it.  The masks are complete: however the substitutions that
+``agree`` allows fall in a window, one mask keeps all its ones on equal words somewhere in it.  The benchmark's seed hashes set bits
 of a filter of fixed size, which is sent to the executors; documents emit a seed only if the
 filter knows it, and those few seeds are joined with the benchmark's by hash.  Each pair of
 document, item and offset is then laid side by side: an overlap is a stretch of
 ``window`` words (of the whole item, if it is shorter) of which ``agree`` or more are equal
-place by place.  An item shorter than a mask is one seed over all its words; items under
-``least`` words are no evidence and match nothing.
+place by place.  Items under ``long`` words have masks of their own; items under ``least``
+words are no evidence and match nothing.
 
 Null and empty texts hold no overlap.  Repeated rows of documents get the same verdict, repeated
 items count once; an empty benchmark clears everything.  Extra columns are kept.
@@ -35,10 +36,17 @@ _STEP = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class SeedParams:
-    masks: tuple[str, ...] = ("110110110111", "111010011101", "101101101110", "111111110000")
+    """Masks of items of ``long`` words or more, and of shorter ones.
+
+    Complete for windows of 15 to 20 and of 8 to 14 words at ``agree`` 0.8, as a test enumerates.
+    """
+
+    masks: tuple[str, ...] = ("1111011", "110010111", "11000010111")
+    short_masks: tuple[str, ...] = ("111011", "11001011", "11111")
     window: int = 20
     agree: float = 0.8
     least: int = 8
+    long: int = 15
     filter_bits: int = 26
     probes: int = 3
 
@@ -58,50 +66,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def seeds(words: np.ndarray, params: SeedParams):
-    """``(hashes, places)`` of each mask that fits."""
-    for m, mask in enumerate(params.masks):
+def seeds(words: np.ndarray, params: SeedParams, short: bool = False):
+    """``(hashes, places)`` of each mask that fits; ``short``: the masks of short items."""
+    for m, mask in enumerate(params.short_masks if short else params.masks):
         n = len(words) - len(mask) + 1
         if n > 0:
             h = np.zeros(n, np.uint64)
             for k, on in enumerate(mask):
                 if on == "1":
-                    h += words[k : k + n] * _factor(k, m + 1)
+                    h += words[k : k + n] * _factor(k, m + 1 + 1000 * short)
             yield _mix(h), np.arange(n, dtype=np.int32)
 
 
-def whole(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each stretch of ``length`` words, for items shorter than a mask."""
-    n = max(len(words) - length + 1, 0)
-    h = np.zeros(n, np.uint64)
-    for k in range(length if n else 0):
-        h += words[k : k + n] * _factor(k, 1000 + length)
-    return _mix(h), np.arange(n, dtype=np.int32)
-
-
-def _span(params: SeedParams) -> int:
-    return max(map(len, params.masks))
-
-
 def benchmark_seeds(items: DataFrame, params: SeedParams) -> DataFrame:
-    """One row per seed of each item: h, item_id, q (place), short (length of a short item, else 0)."""
+    """One row per seed of each item: h, item_id, q (place), short (of an item under ``long`` words)."""
     def run(batches):
         for batch in batches:
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = word_hashes(text)
                 if len(words) < params.least:
                     continue
-                short = len(words) if len(words) < _span(params) else 0
-                found = [whole(words, short)] if short else list(seeds(words, params))
-                h, q = (np.concatenate(x) for x in zip(*found, strict=True))
+                short = len(words) < params.long
+                h, q = (np.concatenate(x) for x in zip(*seeds(words, params, short), strict=True))
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(h.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array(q),
-                    pa.array(np.full(n, short, np.int32)),
+                    pa.array([short] * n, pa.bool_()),
                 ], names=["h", "item_id", "q", "short"])
 
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct()
-    return arrow_map(rows, run, "h long, item_id long, q int, short int").distinct()
+    return arrow_map(rows, run, "h long, item_id long, q int, short boolean").distinct()
 
 
 def _bits(h: np.ndarray, params: SeedParams):
@@ -142,7 +136,7 @@ def document_hits(docs: DataFrame, found: DataFrame, params: SeedParams) -> Data
     """One row per document with seeds the filter knows: dk, tk, its word hashes and the seeds."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(seed_filter(found, params))
-    lengths = [r[0] for r in found.filter("short > 0").select("short").distinct().collect()]  # under a mask's length
+    kinds = [r[0] for r in found.select("short").distinct().collect()]  # masks that any item needs
 
     def run(batches):
         for batch in batches:
@@ -151,7 +145,7 @@ def document_hits(docs: DataFrame, found: DataFrame, params: SeedParams) -> Data
                 for k, text in enumerate(texts):
                     words = word_hashes(text)
                     hits = []
-                    for h, p in [*seeds(words, params), *(whole(words, n) for n in lengths)]:
+                    for h, p in (x for short in kinds for x in seeds(words, params, short)):
                         at = _known(h, bits.value, params)
                         if len(at):
                             hits.append((h[at].view(np.int64), p[at]))
