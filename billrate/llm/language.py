@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billrate.llm.common import arrow_map, may_learn, ship
@@ -97,7 +97,11 @@ def _gram_counts(text: str, params: LanguageParams) -> tuple[np.ndarray, np.ndar
 
 
 def training_rows(docs: DataFrame, params: LanguageParams) -> DataFrame:
-    """The bounded sample: rows of each language by the hash of their id, rarest languages whole."""
+    """The bounded sample: rows of each language by the hash of their id, rarest languages whole.
+
+    If more than ``max_rows`` are drawn, languages give rows in turn until the bound is met, so
+    the largest draws are cut and no language before another has as many rows.
+    """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & may_learn(F.col("doc_id"))
     )
@@ -105,15 +109,16 @@ def training_rows(docs: DataFrame, params: LanguageParams) -> DataFrame:
     # Ids alone are weighed and drawn; the rates are written, so their size decides the join.
     keys = rows.select("doc_id", F.xxhash64("text").alias("tk"), "lang")
     counts = stage(keys.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
-    ids = (
+    drawn = (
         keys.join(counts, "lang").filter(share < F.lit(params.rows_per_lang) / F.col("n"))
-        .select("doc_id", "tk", "lang")
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(params.seed)), "doc_id", "tk", "lang")
-        .limit(params.max_rows)
+        .select("doc_id", "tk", "lang").distinct()
     )
+    order = [F.xxhash64(F.col("doc_id"), F.lit(params.seed)), "doc_id", "tk"]
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))  # some rows_per_lang a language
+    ids = drawn.withColumn("turn", turn).orderBy("turn", *order, "lang").limit(params.max_rows).drop("turn")
     return (
         rows.withColumn("tk", F.xxhash64("text"))
-        .join(F.broadcast(ids.distinct()), ["doc_id", "tk", "lang"], "left_semi")  # max_rows at most
+        .join(F.broadcast(ids), ["doc_id", "tk", "lang"], "left_semi")  # max_rows at most
         .select("doc_id", "tk", "lang", "text")
     )
 
