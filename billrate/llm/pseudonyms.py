@@ -187,8 +187,8 @@ def _plain(kind: str) -> str:
 def replace(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and a column ``n_replaced``."""
     names = [c for c in docs.columns if c.lower() != "n_replaced"]
-    # Most texts hold no two digits in a row; they are passed over before the full pattern runs.
-    matches = F.when(F.col("text").rlike("[0-9]{2}"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    # Every format has two digits in a row, or one-digit octets around a dot; other texts are passed over.
+    matches = F.when(F.col("text").rlike("[0-9]{2}|[0-9][.][0-9]"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     found = docs.select(*names, matches.alias("_pn_found"))
     new = F.transform("_pn_found", lambda m: pseudonym(m, key, back))
     some = found.withColumn("_pn_new", F.when(F.size("_pn_found") > 0, new))
