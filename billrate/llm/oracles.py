@@ -143,3 +143,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 FROM told
 """,
 }
+
+
+def _codebooks_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Assignment and floored means, written out for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+    SELECT r, p, min(d * {entries} + e) % {entries} AS e, min(d * {entries} + e) // {entries} AS d FROM (
+        SELECT r, part.p, e, list_sum(list_transform(list_zip(x, c), lambda z: ((z[1] - z[2]) * (z[1] - z[2]))::HUGEINT)) AS d
+        FROM part JOIN book{k} USING (p)
+    ) GROUP BY r, p
+)""")
+        if k < rounds:
+            steps.append(f"""moved{k} AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+        SELECT p, e, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+        FROM near{k} JOIN part USING (r, p), (SELECT unnest(range(1, (SELECT max(len(x)) FROM part) + 1)) AS i)
+        GROUP BY p, e, i
+    ) GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (
+    SELECT p, e, coalesce(m.c, b.c)::BIGINT[] AS c FROM book{k} b LEFT JOIN moved{k} m USING (p, e)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+           list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+    SELECT r, vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {entries}),
+{", ".join(steps)},
+said AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+), coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', e::BIGINT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+    FROM near{rounds} JOIN kept USING (r) GROUP BY r, vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, said
+"""
+
+
+ORACLES["op11_codebooks"] = _codebooks_sql()

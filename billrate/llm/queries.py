@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billrate.llm import (
-    chunkdedup, decontaminate, language, linedup, mixing, pseudonyms, quality, revisits, simhash, toxicity,
+    chunkdedup, codebooks, decontaminate, gam, language, linedup, mixing, periodic, pseudonyms, quality, revisits, simhash,
+    toxicity,
 )
 from billrate.llm.common import held_out, table
 
@@ -87,3 +88,21 @@ def op10_quality(spark, sf):
     return quality.assess(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed"
     )
+
+
+@query
+def op11_codebooks(spark, sf):
+    return codebooks.compress(table(spark, sf, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    return periodic.detect(table(spark, sf, "documents"))
+
+
+@query
+def op13_quality_model(spark, sf):
+    docs = table(spark, sf, "documents")
+    return gam.score(docs, gam.train(docs, table(spark, sf, "labels")))

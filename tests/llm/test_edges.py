@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from billrate.llm import (
-    chunkdedup, decontaminate, language, linedup, mixing, pseudonyms, quality, revisits, simhash, toxicity,
+    chunkdedup, decontaminate, gam, language, linedup, mixing, periodic, pseudonyms, quality, revisits, simhash, toxicity,
 )
 
 ITEMS = "item_id long, text string"
@@ -28,6 +28,8 @@ OPERATORS = {
     "chunks": lambda s, d: chunkdedup.cut_copies(d),
     "leaks": lambda s, d: decontaminate.mark(d, s.createDataFrame([(1, "a b c"), (None, None), (2, "")], ITEMS)),
     "quality": lambda s, d: quality.assess(d),
+    "periodic": lambda s, d: periodic.detect(d),
+    "gam": lambda s, d: gam.score(d, gam.train(d, labels(s))),
 }
 
 
