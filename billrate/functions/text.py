@@ -24,6 +24,7 @@ SYNONYM_GROUPS = [
 STOP_WORDS = ["kg", "mm", "cm", "dm", "km", "包括", "包含"]
 CONFLICT_TYPES = ["热成像", "抓拍", "普通"]
 PART_MIN, PART_MAX = 2, 20
+PART_MARKS = r"[\s\p{Punct}\d]+"
 
 BLANKS = "".join(map(chr, range(33)))
 HAN = r"\x{4E00}-\x{9FA5}"
@@ -58,7 +59,7 @@ def split_parts(cleaned: Column) -> Column:
     letters are picked out.
     """
     parts = F.filter(
-        F.split(cleaned, r"[\s\p{Punct}\d]+"),
+        F.split(cleaned, PART_MARKS),
         lambda p: F.char_length(p).between(PART_MIN, PART_MAX),
     )
     # Parts hold no line feed, so one pass over the joined parts serves all.
@@ -68,6 +69,19 @@ def split_parts(cleaned: Column) -> Column:
     return F.filter(letters, lambda p: F.char_length(p) >= PART_MIN)
 
 
+def has_inner_word(c: Column, words: Column) -> Column:
+    """Whether a part of the text that is neither first nor last is one of its keywords.
+
+    Every text that holds this one has that part between the same marks, and
+    so the keyword.
+    """
+    def inner(parts: Column) -> Column:
+        middle = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        return F.arrays_overlap(middle, words)
+
+    return F.coalesce(let(F.split(clean_text(c), PART_MARKS), inner), F.lit(False))
+
+
 def han_ngrams(c: Column) -> Column:
     """All windows of 4, 3 and 2 characters that are entirely Han."""
     return F.concat(*[

@@ -90,16 +90,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Later steps then start from files that survive a lost executor, and the
-    optimizer sees true sizes.
+    optimizer sees true sizes.  With ``by``, each value of that column has a
+    folder of its own, so a filter on it reads no others.
     """
     spark = df.sparkSession
     path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
     _staged.append(path)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -77,7 +77,7 @@ def match_items_learned(spark, sf):
 def top_candidates(spark, sf):
     items = MA.item_texts(FL.eligible_items(TT.items(spark, sf)))
     quotas = MA.quota_texts(TT.quotas(spark, sf))
-    best = RK.top_candidates(MA.scored_pairs(items, quotas).filter("score >= 0.3"), 3)
+    best = RK.top_candidates(MA.scored_pairs(items, quotas, ranks=3).filter("score >= 0.3"), 3)
     names = items.select(
         "tid", F.col("profile.name").alias("item_name"),
         F.col("profile.feature").alias("feature_value"),

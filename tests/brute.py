@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 
+# They decide the scores and must be these exact words.
 CORE = {
     "摄像机", "摄像头", "录像机", "NVR", "硬盘录像机", "网络硬盘录像机", "监控", "设备",
     "系统", "装置",
@@ -88,7 +89,13 @@ def text_score(a, b):
     return max(s, 0.7) if inside else s
 
 
-def pair_score(item, quota):
+def weighted(a, b, weights):
+    """Share of the weight of ``a`` that ``b`` also holds."""
+    whole = sum(weights.get(k, 1.0) for k in sorted(a))
+    return sum(weights.get(k, 1.0) for k in sorted(a & b)) / whole if whole else 0.0
+
+
+def pair_score(item, quota, weights=None):
     """Score of (name, feature) pairs."""
     (n, f), (qn, qf) = [[(t or "").strip(LOW) for t in side] for side in (item, quota)]
     pool, qpool = keywords(n) | keywords(f), keywords(qn) | keywords(qf)
@@ -98,17 +105,18 @@ def pair_score(item, quota):
     if f and qf:
         total, weight = total + text_score(f, qf) * 0.3, weight + 0.3
     if qpool:
-        total, weight = total + similarity(pool, qpool) * 0.3, weight + 0.3
+        pooled = similarity(pool, qpool) if weights is None else weighted(pool, qpool, weights)
+        total, weight = total + pooled * 0.3, weight + 0.3
     return total / weight if weight else 0.0
 
 
-def best(item, quotas, early=0.8):
+def best(item, quotas, early=0.8, weights=None):
     """First good-enough or else best quota of [(id, name, feature)]."""
     if not keywords((item[0] or "").strip(LOW)) | keywords((item[1] or "").strip(LOW)):
         return None
     top = None
     for qid, qn, qf in sorted(quotas):
-        s = pair_score(item, (qn, qf))
+        s = pair_score(item, (qn, qf), weights)
         if s > 0 and (top is None or s > top[1]):
             top = (qid, s)
             if early is not None and s >= early:
