@@ -678,6 +678,26 @@ def _table():
         f"{full()} SELECT id, user_id FROM settled WHERE NOT (user_id = 7 AND id IN (SELECT item_id "
         "FROM edits))"
     )
+    unknown = "'unknown' AS reason"
+    o["remove_item_quotas_rejects"] = (
+        f"{full()}, {BIG_LINKS}, asked AS (SELECT item_id * 10000000 + quota_id AS id FROM edits UNION SELECT id "
+        f"FROM big) SELECT id, {unknown} FROM asked WHERE id NOT IN (SELECT id FROM links)"
+    )
+    o["clear_item_quotas_rejects"] = (
+        f"{full()} SELECT DISTINCT item_id AS id, {unknown} FROM edits WHERE item_id NOT IN (SELECT id FROM settled)"
+    )
+    o["delete_items_rejects"] = (
+        f"{full()} SELECT DISTINCT item_id AS id, CASE WHEN s.id IS NULL THEN 'unknown' ELSE 'foreign' END AS "
+        "reason FROM edits LEFT JOIN settled s ON s.id = item_id WHERE s.id IS NULL OR user_id IS NULL OR user_id <> 7"
+    )
+    o["delete_quotas_rejects"] = (
+        f"WITH {quotas()} SELECT s_suppkey * 50 AS id, {unknown} FROM supplier WHERE s_suppkey * 50 NOT IN (SELECT "
+        "id FROM quotas)"
+    )
+    o["delete_versions_rejects"] = (
+        f"WITH {VERSIONS} SELECT n_nationkey * 3 AS id, {unknown} FROM nation WHERE n_nationkey * 3 NOT IN (SELECT "
+        "id FROM versions)"
+    )
     o["delete_versions_kept"] = (
         f"WITH {VERSIONS} SELECT id, version_name FROM versions WHERE id NOT IN {old}"
     )

@@ -15,6 +15,7 @@ from billrate.operators import filters as FL
 from billrate.operators import maintenance as MT
 from billrate.operators import pricing as PR
 from billrate.operators import ranking as RK
+from billrate.operators import rejects as RJ
 from billrate.operators import summary as SM
 from billrate.plans import learning as LN
 from billrate.plans import matching as MA
@@ -780,6 +781,41 @@ def delete_items_links(spark, sf):
     return kept.select("id", "project_item_id")
 
 
+def _item_ids(spark, sf):
+    return IN.edits(spark, sf).select(F.col("item_id").alias("id"))
+
+
+@query
+def remove_item_quotas_rejects(spark, sf):
+    """Links asked by item and part: some items hold no such link."""
+    e = IN.edits(spark, sf)
+    ids = e.select((F.col("item_id") * IN.LINK_BASE + F.col("quota_id")).alias("id"))
+    ids = ids.unionByName(_some_links(spark, sf).select("id"))
+    return RJ.unknown_ids(IN.item_quotas(spark, sf), ids)
+
+
+@query
+def clear_item_quotas_rejects(spark, sf):
+    return RJ.unknown_ids(IN.settled_items(spark, sf), _item_ids(spark, sf))
+
+
+@query
+def delete_items_rejects(spark, sf):
+    return RJ.undeletable_items(IN.settled_items(spark, sf), _item_ids(spark, sf), 7)
+
+
+@query
+def delete_quotas_rejects(spark, sf):
+    ids = TT.read(spark, sf, "supplier").select((F.col("s_suppkey") * 50).alias("id"))
+    return RJ.unknown_ids(TT.quotas(spark, sf), ids)
+
+
+@query
+def delete_versions_rejects(spark, sf):
+    ids = TT.read(spark, sf, "nation").select((F.col("n_nationkey").cast("bigint") * 3).alias("id"))
+    return RJ.unknown_ids(IN.versions(spark, sf), ids)
+
+
 @query
 def clear_items(spark, sf):
     """Rows left by table once the bill is emptied."""
