@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import cache
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,25 +65,53 @@ def _own_folder() -> str:
     return root
 
 
-# Paths of the tables this program has staged.
+# Paths of the tables staged outside of any ``temporary`` block, and of those in the block at hand.
 _staged: list[str] = []
+_here: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Remove all tables that this program has staged, and say how many.
+def _current() -> list[str]:
+    mine = _here.get()
+    return _staged if mine is None else mine
 
-    To be called once the results built on them are written, as they can no
-    longer be read afterwards.
-    """
+
+def _drop(spark: SparkSession, staged: list[str]) -> int:
     paths = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
     gone = 0
-    while _staged:
-        path = paths(_staged.pop())
+    while staged:
+        path = paths(staged.pop())
         gone += path.getFileSystem(conf).delete(path, True)
     return gone
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the tables that this program has staged, and say how many.
+
+    To be called once the results built on them are written, as they can no
+    longer be read afterwards.  Tables of ``temporary`` blocks are not touched.
+    """
+    return _drop(spark, _staged)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged in this block go when it ends, those of other blocks and threads stay.
+
+    Gives a function that stages a table which outlives the block::
+
+        with temporary(spark) as keep:
+            result = keep(work_of_many_steps(docs), "result")
+    """
+    outer, mine = _current(), []
+    token = _here.set(mine)
+    try:
+        yield partial(stage, into=outer)
+    finally:
+        _here.reset(token)
+        _drop(spark, mine)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt evenly before a step that costs far more than their bytes suggest.
 
@@ -90,16 +121,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None, into: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Later steps then start from files that survive a lost executor, and the
     optimizer sees true sizes.  With ``by``, each value of that column has a
-    folder of its own, so a filter on it reads no others.
+    folder of its own, so a filter on it reads no others.  ``into`` is the list
+    that the path is put on, as ``temporary`` gives it.
     """
     spark = df.sparkSession
     path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
-    _staged.append(path)
+    (_current() if into is None else into).append(path)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -108,7 +140,7 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 def stage_together(**frames: DataFrame) -> list[DataFrame]:
     """Stage several independent tables at the same time."""
     with ThreadPoolExecutor(len(frames)) as pool:
-        jobs = [pool.submit(stage, df, label.replace("_", "-")) for label, df in frames.items()]
+        jobs = [pool.submit(copy_context().run, stage, df, label.replace("_", "-")) for label, df in frames.items()]
         return [job.result() for job in jobs]
 
 

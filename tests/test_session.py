@@ -23,3 +23,18 @@ def test_spread_keeps_rows_and_gives_each_task_some(spark):
     df = session.spread(spark.range(1000), "id")
     assert df.count() == 1000
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_temporary_tables_go_with_their_block(spark, own_list):
+    before = session.stage(spark.range(2), "before")
+    with session.temporary(spark) as keep:
+        inner = session.stage_together(a=spark.range(3), b=spark.range(4))
+        with session.temporary(spark) as hold:
+            session.stage(spark.range(1), "inmost")
+            held = hold(inner[0].union(inner[1]), "held")
+        result = keep(held, "result")
+        folders = {Path(f.removeprefix("file:")).parent for t in (*inner, held) for f in t.inputFiles()}
+        assert all(f.is_dir() for f in folders)
+    assert not any(f.exists() for f in folders)
+    assert before.count() == 2 and result.count() == 7
+    assert session.drop_staged(spark) == 2
