@@ -22,19 +22,23 @@ def scope_version(quotas: DataFrame, version_id: int | None = None) -> DataFrame
     return quotas if version_id is None else quotas.filter(F.col("version_id") == version_id)
 
 
-def search_quotas(
-    quotas: DataFrame, kw: str, version_id: int | None = None, ignore_case: bool = False
-) -> DataFrame:
-    """Name or feature LIKE %kw%; wildcards in ``kw`` keep their meaning.
+def like_any(df: DataFrame, kw: str, cols: tuple[str, ...], ignore_case: bool = False) -> DataFrame:
+    """Rows of which any of ``cols`` is LIKE %kw%; wildcards in ``kw`` keep their meaning.
 
     A backslash before anything but a wildcard or itself stands for itself.
     """
     pattern = "%" + re.sub(r"\\\\|\\(?![%_])", r"\\\\", kw) + "%"
+    hit = F.lit(False)
+    for c in cols:
+        hit = hit | (F.col(c).ilike(pattern) if ignore_case else F.col(c).like(pattern))
+    return df.filter(hit)
 
-    def hit(c: str) -> Column:
-        return F.col(c).ilike(pattern) if ignore_case else F.col(c).like(pattern)
 
-    return scope_version(quotas, version_id).filter(hit("quota_name") | hit("feature_value"))
+def search_quotas(
+    quotas: DataFrame, kw: str, version_id: int | None = None, ignore_case: bool = False
+) -> DataFrame:
+    """Name or feature LIKE %kw%, see ``like_any``."""
+    return like_any(scope_version(quotas, version_id), kw, ("quota_name", "feature_value"), ignore_case)
 
 
 def contains_filter(df: DataFrame, col: str, kw: str, ignore_case: bool = False) -> DataFrame:

@@ -355,6 +355,11 @@ def _table():
         f"WITH {quotas()} SELECT id, quota_name, feature_value FROM quotas WHERE quota_name ILIKE "
         "'%econ%y%' OR feature_value ILIKE '%econ%y%'"
     )
+    o["search_stored"] = f"WITH {quotas()} " + " UNION ALL ".join(
+        f"SELECT '{kw}' AS term, id, quota_name FROM quotas WHERE quota_name {op} '%{kw}%' OR feature_value {op} '%{kw}%'"
+        for kw, op in (("r_n", "LIKE"), ("ring", "LIKE"), ("econ%y", "ILIKE"), ("STEEL", "ILIKE"), ("no such text", "LIKE"))
+    )
+    o["search_documents_stored"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')"
     o["contains_filter"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'the ')"
     o["lookup"] = (
         f"WITH {items()} SELECT id, item_code FROM items WHERE match_status = 2 AND item_name = "

@@ -25,6 +25,7 @@ from billrate.sources import imports as IM
 from billrate.sources import reports as RP
 from billrate.sources import tables as TB
 from billrate.sources import trade_tables as TT
+from billrate.sources.textindex import TextIndex
 from suite import inputs as IN
 
 ITEM_VIEW = [
@@ -235,6 +236,24 @@ def search_quotas_ignore_case(spark, sf):
     return hits.select("id", "quota_name", "feature_value")
 
 
+@query
+def search_stored(spark, sf):
+    index = TextIndex(f"{staging_root(spark)}/search-{uuid.uuid4().hex}")
+    index.write(TT.quotas(spark, sf))
+    found = None
+    for kw, fold in (("r_n", False), ("ring", False), ("econ%y", True), ("STEEL", True), ("no such text", False)):
+        hits = index.like(spark, kw, fold).select(F.lit(kw).alias("term"), "id", "quota_name")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+@query
+def search_documents_stored(spark, sf):
+    index = TextIndex(f"{staging_root(spark)}/search-{uuid.uuid4().hex}", "doc_id", ("text",))
+    index.write(TT.read(spark, sf, "documents").select("doc_id", "text"))
+    return index.contains(spark, "text", "License", ignore_case=True).select("doc_id")
+
+
 @query
 def contains_filter(spark, sf):
     docs = TT.read(spark, sf, "documents")
