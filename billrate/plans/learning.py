@@ -123,6 +123,10 @@ def _empty(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return conform(df.limit(0), fields)
 
 
+def no_weights(df: DataFrame) -> DataFrame:
+    return _empty(df, WEIGHT_FIELDS)
+
+
 def keyword_weights(
     records: DataFrame,
     existing: DataFrame | None = None,
@@ -135,15 +139,24 @@ def keyword_weights(
     not add up to matches.  Existing keywords not seen now stay.
     """
     if _fewer_than(records, min_records):
-        return existing if existing is not None else _empty(records, WEIGHT_FIELDS)
-    counts = (
+        return existing if existing is not None else no_weights(records)
+    return weights_of(keyword_counts(records), existing, now)
+
+
+def keyword_counts(records: DataFrame) -> DataFrame:
+    """How often each keyword was shared, and how often in a full match; counts of parts add up."""
+    return (
         records.select(F.explode("common_keywords").alias("keyword"), "learning_weight")
         .groupBy("keyword").agg(
             F.sum(F.floor("learning_weight")).alias("match_count"),
             F.count(F.lit(1)).alias("total_count"),
         )
-        .withColumn("success_rate", F.col("match_count") / F.col("total_count"))
     )
+
+
+def weights_of(counts: DataFrame, existing: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """Weights from the counts of all records, beside existing ones of keywords not among them."""
+    counts = counts.withColumn("success_rate", F.col("match_count") / F.col("total_count"))
     raw = F.lit(1.0) + (F.col("success_rate") - 0.5) * 2.0
     weighed = counts.withColumn("weight", F.greatest(F.lit(0.5), F.least(F.lit(2.0), raw)))
     stamp = F.lit(now).cast("timestamp")

@@ -26,3 +26,17 @@ def write_table(
     if name in _PARTITION:
         writer = writer.partitionBy(_PARTITION[name])
     writer.save(f"{root}/{name}")
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str = "id", buckets: int | None = None) -> DataFrame:
+    """Store ``df`` as table ``name`` in sorted buckets by ``key``, and read it back.
+
+    A change-set joins such a table by key without moving it.  There should be
+    at least ``spark.sql.shuffle.partitions`` buckets, the default here, or a
+    join may shuffle the table to that number.  Each bucket is written by one task.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    dealt.mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)

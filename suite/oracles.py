@@ -119,11 +119,11 @@ def texts():
     )
 
 
-def match(zh, early=True, before="", weighted=None):
+def match(zh, early=True, before="", weighted=None, catalogue=None):
     good = "s >= 0.8" if early else "false"
     n, f = X.jtrim("i.item_name"), X.jtrim("i.feature_value")
     return (
-        f"WITH {quotas(zh)}, {items(zh)}, {before}{texts()}, "
+        f"WITH {catalogue or quotas(zh)}, {items(zh)}, {before}{texts()}, "
         f"{X.scored_ctes('it', 'qt', weighted)}, best AS (SELECT * FROM scored "
         f"QUALIFY row_number() OVER (PARTITION BY n, f ORDER BY CASE WHEN {good} THEN 0 ELSE 1 END, "
         f"CASE WHEN {good} THEN 0 ELSE -s END, qid) = 1) "
@@ -272,8 +272,22 @@ RULE_TEXT = (
 )
 
 
+CHANGED_QUOTAS = (
+    f"{quotas().replace('quotas AS', 'q0 AS', 1)}, {SUPPLIER_CHANGES}, quotas AS (SELECT q.id, CASE WHEN "
+    "c.id IS NULL THEN q.quota_code ELSE 'S' END AS quota_code, CASE WHEN c.id IS NULL THEN q.quota_name "
+    "ELSE c.s_name END AS quota_name, CASE WHEN c.id IS NULL THEN q.feature_value END AS feature_value, "
+    f"CASE WHEN c.id IS NOT NULL THEN c.price WHEN c_custkey IS NOT NULL THEN CAST(c_acctbal AS {MONEY}) "
+    "ELSE q.unit_price END AS unit_price FROM q0 q LEFT JOIN changes c ON c.id = q.id AND c.op = 'update' "
+    "LEFT JOIN customer ON c_custkey = q.id WHERE q.id NOT IN (SELECT n_nationkey FROM nation) UNION ALL "
+    "SELECT id, 'S', s_name, NULL, price FROM changes WHERE op = 'insert' UNION ALL SELECT -1000000000 - "
+    "id, quota_code, quota_name, feature_value, unit_price FROM q0 WHERE id IN (SELECT n_nationkey FROM "
+    "nation))"
+)
+
+
 def _table():
     o = {}
+    o["rematch_items"] = match(False, catalogue=CHANGED_QUOTAS)
     o["match_items"] = match(False)
     o["match_items_zh"] = match(True)
     o["match_items_exhaustive"] = match(True, early=False)
@@ -542,6 +556,7 @@ def _table():
         f"round(b.s, 9) AS score FROM items i LEFT JOIN best b ON b.s >= 0.3 AND b.n = "
         f"{X.jtrim('i.item_name')} LEFT JOIN quotas q ON q.id = b.qid"
     )
+    o["rematch_turns"] = o["match_turns"]
     by_hand = "CASE WHEN coalesce(match_status, 0) NOT IN (2, 3) THEN NULL ELSE"
     o["match_items_scoped"] = scoped.replace("{0} ", "")
     cleared = scoped
@@ -718,6 +733,16 @@ def _table():
         f"WITH {quotas()} SELECT id, quota_code, unit_price, version_id FROM quotas WHERE "
         "version_id = 5"
     )
+    for stored, plain in (
+        ("upsert_quotas_stored", "upsert_quotas"), ("delete_quotas_stored", "delete_quotas"),
+        ("patch_items_stored", "patch_items"), ("price_override_bucketed", "price_override"),
+        ("keyword_weights_in_batches", "keyword_weights"),
+    ):
+        o[stored] = o[plain]
+    o["stored_rules"] = learned(
+        f"{RULES} SELECT keyword AS source_text, CAST(to_json(names) AS VARCHAR) AS stored, "
+        "CAST(len(names) AS INTEGER) AS n_values, list_max(names) AS last_value FROM rules"
+    )
     o["save_replacement_sets"] = (
         "SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS nation FROM customer"
     )

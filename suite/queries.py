@@ -17,14 +17,18 @@ from billrate.operators import pricing as PR
 from billrate.operators import ranking as RK
 from billrate.operators import rejects as RJ
 from billrate.operators import summary as SM
+from billrate.plans import incremental as IC
 from billrate.plans import learning as LN
 from billrate.plans import matching as MA
+from billrate.plans import rematch as RM
 from billrate.plans.templates import render_batch
+from billrate.schemas import ITEM_FIELDS, QUOTA_FIELDS
 from billrate.session import stage, staging_root
 from billrate.sources import imports as IM
 from billrate.sources import reports as RP
 from billrate.sources import tables as TB
 from billrate.sources import trade_tables as TT
+from billrate.sources.shards import ShardedTable
 from billrate.sources.textindex import TextIndex
 from suite import inputs as IN
 
@@ -35,6 +39,11 @@ ITEM_VIEW = [
 QUERIES = {}
 
 
+def _store(spark):
+    """A new folder for stored tables."""
+    return f"{staging_root(spark)}/store-{uuid.uuid4().hex}"
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -98,6 +107,47 @@ def match_turns(spark, sf):
     )
 
 
+def _changed_catalogue(spark, sf):
+    """Suppliers rename rows and bring new ones, customers set prices; a nation's row leaves and
+    comes back under a lower id.
+    """
+    base = TT.quotas(spark, sf)
+    customer = TT.read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("decimal(18,2)").alias("price")
+    )
+    prices = base.join(customer, "id").select(
+        *[F.col("price").alias(c) if c == "unit_price" else F.col(c) for c in base.columns],
+        F.lit("update").alias("op"), (F.col("id") - 10**9).alias("edit_seq"),
+    )
+    nations = TT.read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    back = base.join(nations, "id", "left_semi").withColumns({
+        "id": F.lit(-(10**9)) - F.col("id"), "op": F.lit("insert"), "edit_seq": F.col("id") + 10**9,
+    })
+    changes = _quota_changes(spark, sf).unionByName(prices).unionByName(back)
+    return MT.delete_quotas(MT.upsert_quotas(base, changes)[0], nations)
+
+
+@query
+def rematch_items(spark, sf):
+    """The bill after a batch of catalogue changes; equals a full match against the new catalogue."""
+    items, before = TT.items(spark, sf), TT.quotas(spark, sf)
+    after = stage(_changed_catalogue(spark, sf), "changed-quotas")
+    out, _ = RM.rematch_items(items, RM.first_winners(items, before), before, after, with_score=True)
+    return out.select(*ITEM_VIEW, F.round("match_score", 9).alias("score"))
+
+
+@query
+def rematch_turns(spark, sf):
+    """What users say, first matched against what assistants say, then against the system's turns too."""
+    items, after = IN.turns(spark, sf)
+    before = after.filter(F.col("quota_code") == "assistant")
+    out, _ = RM.rematch_items(items, RM.first_winners(items, before), before, after, with_score=True)
+    return out.select(
+        "id", "matched_quota_id", "matched_quota_code", "total_price", "match_status",
+        F.round("match_score", 9).alias("score"),
+    )
+
+
 @query
 def match_items_scoped(spark, sf):
     """One user's settled bill against one version; earlier values stay where nothing matches."""
@@ -553,6 +603,21 @@ def _no_rules(spark):
     return spark.createDataFrame([], ddl(RULE_FIELDS))
 
 
+@query
+def keyword_weights_in_batches(spark, sf):
+    """Weights after three runs over a log that grows in between."""
+    log = stage(_records(spark, sf).withColumn("id", F.monotonically_increasing_id()), "record-log")
+    ends = log.agg(F.percentile_approx("id", [0.3, 0.6], F.lit(100)).alias("ends")).first()["ends"] or []
+    state = None
+    for end in ends:
+        state = IC.advance(log.filter(F.col("id") <= end), state)
+    weights = IC.learned_weights(IC.advance(log, state), now=IN.NOW)
+    return weights.select(
+        "keyword", F.round("weight", 9).alias("weight"), "match_count", "total_count",
+        F.round("success_rate", 9).alias("success_rate"), "is_core_concept",
+    )
+
+
 def _rules(spark, sf):
     return LN.discover_synonyms(_records(spark, sf), _no_rules(spark), IN.NOW)
 
@@ -565,6 +630,17 @@ def discover_synonyms(spark, sf):
     )
 
 
+@query
+def stored_rules(spark, sf):
+    """Rules stored with their values as JSON text, read back and decoded."""
+    root = _store(spark)
+    TB.write_table(LN.rules_to_json(_rules(spark, sf)), root, "rules")
+    text = TB.read_table(spark, root, "rules").withColumn("stored", F.col("rule_value"))
+    return LN.rules_from_json(text).select(
+        "source_text", "stored", F.size("rule_value").alias("n_values"), F.array_max("rule_value").alias("last_value")
+    )
+
+
 @query
 def run_learning(spark, sf):
     records = _records(spark, sf)
@@ -850,12 +926,46 @@ def clear_items(spark, sf):
 @query
 def stored_quotas(spark, sf):
     """One version of the catalogue, stored by version and read back."""
-    root = f"{staging_root(spark)}/store-{uuid.uuid4().hex}"
+    root = _store(spark)
     TB.write_table(TT.quotas(spark, sf), root, "quotas")
     kept = FL.scope_version(TB.read_table(spark, root, "quotas"), 5)
     return kept.select("id", "quota_code", "unit_price", F.col("version_id").cast("bigint").alias("version_id"))
 
 
+@query
+def upsert_quotas_stored(spark, sf):
+    """A batch of new and changed catalogue rows, merged into a sharded table."""
+    kept = ShardedTable(spark, _store(spark), QUOTA_FIELDS, shards=16)
+    kept.write(TT.quotas(spark, sf))
+    kept.merge(_quota_changes(spark, sf), MT.upsert_quotas)
+    return kept.read()
+
+
+@query
+def delete_quotas_stored(spark, sf):
+    kept = ShardedTable(spark, _store(spark), QUOTA_FIELDS, shards=16)
+    kept.write(TT.quotas(spark, sf))
+    ids = TT.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    kept.merge(ids, lambda rows, gone: (MT.delete_quotas(rows, gone), RJ.unknown_ids(rows, gone)))
+    return kept.read().select("id", "quota_code")
+
+
+@query
+def patch_items_stored(spark, sf):
+    kept = ShardedTable(spark, _store(spark), ITEM_FIELDS, shards=16)
+    kept.write(IN.settled_items(spark, sf))
+    kept.merge(_patches(spark, sf), MT.patch_items, key="item_id")
+    return kept.read().select("id", "item_name", "quantity", "total_price", "match_status")
+
+
+@query
+def price_override_bucketed(spark, sf):
+    """Prices set by hand on a bill stored in buckets, which the edits join in place."""
+    items, links = _base(spark, sf)
+    kept = TB.write_bucketed(items, f"bill_{uuid.uuid4().hex}", _store(spark))
+    return PR.apply_price_override(kept, links, IN.edits(spark, sf))[0].select(*ITEM_VIEW)
+
+
 # --- templates --------------------------------------------------------------
 
 
