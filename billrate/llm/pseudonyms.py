@@ -6,9 +6,9 @@ equal values stay equal in all documents and different ones stay different.
 
 format     valid if                         permuted
 card       13 to 19 digits, Luhn            all digits but the first and the check digit
-phone      ten digits and a country code    the ten digits
+phone      ten digits, see below            area and exchange code together, the last four digits
 ssn        area, group and serial in use    the valid triples
-ipv4       octets up to 255                 the 32 bits
+ipv4       up to 255, no leading zeros      the 32 bits
 date       in the calendar, 1700 to 2099    the 146,097 days of these years
 
 A network works on a pair (a, b) below (ra, rb) and adds, in turn, a keyed hash of one
@@ -17,6 +17,11 @@ order of day, month and year, and two-digit parts stay; a one-digit day or month
 digits as it needs.  A date is read as day-month-year if
 valid, else month-day-year.  What is not valid stays as it is.
 
+A number with a country code or a bracketed area is a phone by its form.  One without either is
+valid if area and exchange code can be in use: 200 or more and not ending in 11.  Numbers with two
+such codes, with no such area and with such an area alone are permuted among themselves, so what
+is valid stays valid and is the same number in every form.
+
 A null text stays null; empty texts stay empty.  Rows are independent.  Extra columns are kept.
 """
 
@@ -114,12 +119,48 @@ def _card(m: Column, key: str, back: bool) -> Column:
     return _with(_digits(m), one)
 
 
+# How many three-digit codes can be in use, and how many cannot.
+IN_USE, OUT_OF_USE = 792, 208
+
+
+def _in_use(code: Column) -> Column:
+    return (code >= 200) & (code % 100 != 11)
+
+
+def _code_place(code: Column) -> Column:
+    """Place of a code among those in use, or among the others."""
+    other = F.when(code < 200, code).otherwise(F.floor(code / 100) + 198)
+    return F.when(_in_use(code), code - 200 - F.floor((code - 112) / 100)).otherwise(other)
+
+
+def _code_at(place: Column, in_use: Column) -> Column:
+    used = 200 + F.floor(place / 99) * 100 + place % 99 + F.when(place % 99 >= 11, 1).otherwise(0)
+    other = F.when(place < 200, place).otherwise((place - 198) * 100 + 11)
+    return F.when(in_use, used).otherwise(other)
+
+
 def _phone(m: Column, key: str, back: bool) -> Column:
     def one(d):
         n = F.length(d)
-        got = feistel(F.substring(d, n - 9, F.lit(5)), F.substring(d, n - 4, F.lit(5)), F.lit(10**5), F.lit(10**5), F.lit("phone"), key, back)
-        return _refill(m, _with(got, lambda s: F.concat(
-            F.substring(d, F.lit(1), n - 10), _zero(s["a"], F.lit(5)), _zero(s["b"], F.lit(5)))))
+        area, exchange = (F.substring(d, n - k, F.lit(3)).cast("int") for k in (9, 6))
+        known, both = _in_use(area), _in_use(area) & _in_use(exchange)
+        areas = F.when(known, IN_USE).otherwise(OUT_OF_USE)
+        # Any exchange code may stand after an area that is not in use.
+        exchanges = F.when(both, IN_USE).when(known, OUT_OF_USE).otherwise(1000)
+        place = F.when(known, _code_place(exchange)).otherwise(exchange)
+        tweak = F.when(both, "phone").when(known, "phone-exchange").otherwise("phone-area")
+        got = feistel(
+            _code_place(area) * exchanges + place, F.substring(d, n - 3, F.lit(4)), areas * exchanges, F.lit(10**4), tweak, key, back
+        )
+
+        def write(s):
+            left, right = F.floor(s["a"] / exchanges), s["a"] % exchanges
+            code = F.when(known, _code_at(right, both)).otherwise(right)
+            return F.concat(
+                F.substring(d, F.lit(1), n - 10), _zero(_code_at(left, known), F.lit(3)), _zero(code, F.lit(3)), _zero(s["b"], F.lit(4))
+            )
+
+        return F.when(both | m.rlike("^[+(]"), _refill(m, _with(got, write))).otherwise(m)
 
     return _with(_digits(m), one)
 
@@ -139,7 +180,8 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
 
 def _ipv4(m: Column, key: str, back: bool) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(k)).cast("int") for k in (1, 2, 3, 4)]
-    valid = (o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256)
+    # A zero before an octet would be lost, and some readers take it for octal.
+    valid = (o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256) & ~m.rlike(r"(?:^|\.)0[0-9]")
     got = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("ipv4"), key, back)
     part = lambda x: (F.floor(x / 256).cast("string"), (x % 256).cast("string"))
     return F.when(valid, _with(got, lambda s: F.concat_ws(".", *part(s["a"]), *part(s["b"])))).otherwise(m)
