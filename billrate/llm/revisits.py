@@ -33,7 +33,7 @@ KEPT = [
 
 def canonical_url(url: Column) -> Column:
     """URL without scheme, user, ``www``, default port, fragment and final slash; host in
-    lower case, query fields sorted."""
+    lower case, query fields sorted.  What names no host stays as it is, but for the fragment."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?@]*@)?([^/?]*)", 1)
     host = F.regexp_replace(F.lower(host), r":(?:80|443)?$|^www\d*\.", "")
@@ -42,7 +42,8 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(path, r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     query = F.array_join(F.array_sort(F.split(query, "&", -1)), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    named = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(bare.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), named).otherwise(bare)
 
 
 def header_map(block: Column) -> Column:
@@ -86,15 +87,24 @@ def latest_before(events: DataFrame) -> DataFrame:
     )
 
 
+def _join_named(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Left join by ``key`` in which rows without one, which find nothing, do not meet in one task."""
+    found = rows.filter(F.col(key).isNotNull()).join(others, key, "left")
+    return found.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row per not-modified revisit: record_id, url, source_id, verdict, headers, payload.
 
     ``records``: record_id, uri, date, type (response or revisit), profile, status, headers (a
     block of lines) and payload.  ``verdict`` is etag, last_modified or unchecked if resolved, else
     mismatch or no_response, and then headers are its own and the payload is null.
+
+    A response without ``record_id`` cannot be named, so an earlier one that can is the source;
+    a revisit without one stays, as no_response.
     """
     revisit = (F.col("type") == "revisit") & F.col("profile").contains(NOT_MODIFIED)
-    full = (F.col("type") == "response") & (F.col("status") == 200)
+    full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     kinds = records.withColumn("full", full).withColumn("revisit", revisit).filter("full or revisit")
     events = kinds.select("record_id", canonical_url(F.col("uri")).alias("url"), "date", "full")
     sources = stage(latest_before(events).dropDuplicates(["record_id"]), "revisit-sources")
@@ -109,8 +119,8 @@ def resolve(records: DataFrame) -> DataFrame:
     once = stored.join(twice, "source_id", "left_anti").unionByName(
         stored.join(twice, "source_id", "left_semi").dropDuplicates(["source_id"])
     )
-    pointed = stage(own.join(sources, "record_id", "left"), "revisits-pointed")
-    both = pointed.join(once, "source_id", "left")
+    pointed = stage(_join_named(own, sources, "record_id"), "revisits-pointed")
+    both = _join_named(pointed, once, "source_id")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     new, old = (lambda k: F.col("new")[k]), (lambda k: F.col("old")[k])
     agree = lambda k, f: F.coalesce(f(new(k)) == f(old(k)), F.lit(False))
