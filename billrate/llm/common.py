@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billrate.session import ship
+
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(2**63)
@@ -41,16 +40,6 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so their Python can import it."""
-    context = spark.sparkContext
-    if not getattr(context, "_billrate_sent", False):
-        root = Path(__file__).resolve().parents[2]
-        base = Path(tempfile.mkdtemp(prefix="billrate-zip-"), "billrate")
-        context.addPyFile(shutil.make_archive(str(base), "zip", root, "billrate"))
-        context._billrate_sent = True
-
-
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
