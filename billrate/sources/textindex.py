@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from billrate.operators.filters import contains_filter, like_any
-from billrate.session import broadcast_if_small, stage
+from billrate.session import broadcast_if_small, ship, stage
 
 _TOKEN = re.compile(r"\\[\\%_]|[%_]|.", re.S)
 # Letters whose lower case depends on their place or has more than one letter.
 _ODD = set("Σσςİ")
+# Texts whose postings are gathered together, and texts of which one task writes the postings.
+SLICE_BYTES, FILE_BYTES = 8 << 20, 32 << 20
 
 
 def literal_runs(kw: str) -> list[str]:
@@ -38,14 +45,39 @@ def grams(runs: list[str]) -> list[str]:
     return sorted({g.lower() for g in found if not _ODD & set(g) and len(g.lower()) == len(g)})
 
 
-def _grams_of(text: Column) -> Column:
-    # Letters laid beside their followers: linear in the length, as cutting by place is not.
-    letters = F.split(F.lower(text), "")
-    rest = lambda k: F.slice(letters, k, F.greatest(F.lit(0), F.size(letters)))
-    beside = F.arrays_zip(letters.alias("a"), rest(2).alias("b"), rest(3).alias("c"))
-    pairs = F.transform(beside, lambda z: F.concat(z["a"], z["b"]))
-    triples = F.transform(beside, lambda z: F.concat(z["a"], z["b"], z["c"]))
-    return F.array_distinct(F.array_compact(F.concat(pairs, triples)))
+def _postings(cols: int):
+    """Arrow function: of rows of a key and ``cols`` lower-case texts, which texts hold which gram.
+
+    One row for each gram of a slice of rows, with the keys of all that hold it, so a gram is
+    written once for many texts.
+    """
+    def slices(texts: pa.Array):
+        start, size = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if i > start and size + n > SLICE_BYTES:
+                yield start, i
+                start, size = i, 0
+            size += n
+        if start < len(texts):
+            yield start, len(texts)
+
+    def run(batches):
+        for batch in batches:
+            for col in range(cols):
+                for a, b in slices(batch.column(col + 1)):
+                    held = defaultdict(list)
+                    for row, x in enumerate(batch.column(col + 1).slice(a, b - a).to_pylist()):
+                        for gram in {x[k : k + size] for size in (2, 3) for k in range(len(x) - size + 1)} if x else ():
+                            held[gram].append(row)
+                    rows = np.fromiter(chain.from_iterable(held.values()), np.int64)
+                    ends = np.cumsum([0, *map(len, held.values())])
+                    keys = batch.column(0).slice(a, b - a).take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(held), col), pa.int32()), pa.array(list(held), pa.string()),
+                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)], names=["col", "gram", "keys"],
+                    )
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -68,16 +100,25 @@ class TextIndex:
     def write(self, df: DataFrame) -> None:
         """Write the copy and the postings; both replace what was there."""
         df.limit(0).write.mode("overwrite").parquet(f"{self.root}/schema")
-        rows = df.select("*", self._place()).repartitionByRange("_p", self.key).sortWithinPartitions("_p", self.key)
+        spark = df.sparkSession
+        ship(spark)
+        texts = [F.lower(c) for c in self.cols]
+        size = df.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in texts).cast("long"))).first()[0] or 0
+        # The numbers are given by the size of the texts: AQE goes by compressed bytes, and postings
+        # and short texts shrink so much that it would put nearly all of them into one task.
+        files = -(-size // FILE_BYTES)
+        tasks = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cuts = max(1, -(-files // self.parts))
+        rows = df.select("*", self._place())
+        cut = F.pmod(F.xxhash64(self.key, *self.cols), F.lit(cuts))
+        rows = rows.repartition(tasks, "_p", cut).sortWithinPartitions("_p", self.key)
         rows.write.mode("overwrite").partitionBy("_p").parquet(f"{self.root}/rows")
-        each = [df.select(F.col(self.key).alias("key"), F.lit(k).alias("col"), F.explode(_grams_of(F.col(c))).alias("gram"))
-                for k, c in enumerate(self.cols)]
-        found = each[0]
-        for more in each[1:]:
-            found = found.unionByName(more)
-        found = found.distinct().withColumn("_b", F.pmod(F.crc32("gram"), F.lit(self.parts)))
-        # The key is part of the order, so a very common gram is spread over several files.
-        laid = found.repartitionByRange("_b", "gram", "key").sortWithinPartitions("_b", "gram", "key")
+        layout = StructType().add("col", "integer").add("gram", "string").add("keys", ArrayType(df.schema[self.key].dataType))
+        found = df.select(self.key, *texts).mapInArrow(_postings(len(texts)), layout)
+        found = found.withColumn("_b", F.pmod(F.crc32("gram"), F.lit(self.parts)))
+        # The first key is part of the order, so a very common gram is spread over several files.
+        cut = F.pmod(F.xxhash64("gram", F.col("keys")[0]), F.lit(cuts))
+        laid = found.repartition(tasks, "_b", cut).sortWithinPartitions("_b", "gram")
         laid.write.mode("overwrite").partitionBy("_b").parquet(f"{self.root}/grams")
 
     def _rows(self, spark: SparkSession) -> DataFrame:
@@ -96,10 +137,12 @@ class TextIndex:
         if not sought:
             return rows
         folders = sorted({crc32(g.encode()) % self.parts for g in sought})
-        layout = StructType().add("key", self._schema(spark)[self.key].dataType)
+        layout = StructType().add("keys", ArrayType(self._schema(spark)[self.key].dataType))
         layout = layout.add("col", "integer").add("gram", "string").add("_b", "integer")
         posted = self._read(spark, "grams", layout).filter(F.col("_b").isin(folders) & F.col("gram").isin(sought))
-        keys = posted.groupBy("key", "col").agg(F.count("*").alias("n")).filter(F.col("n") == len(sought))
+        posted = posted.select("col", "gram", F.explode("keys").alias("key"))
+        # Rows with one key may come from several slices.
+        keys = posted.groupBy("key", "col").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(sought))
         keys = stage(keys.select("key").distinct().select(F.col("key").alias(self.key)).select(self.key, self._place()), "text-keys")
         places = [r[0] for r in keys.select("_p").distinct().collect()]  # ``parts`` numbers at most
         same = rows[self.key].eqNullSafe(keys[self.key])

@@ -3,6 +3,7 @@
 import random
 
 from billrate.operators import filters as FL
+from billrate.sources import textindex
 from billrate.sources.textindex import TextIndex, grams, literal_runs
 
 ROW = "id long, quota_name string, feature_value string, _note string"
@@ -51,3 +52,17 @@ def test_empty_table(spark, tmp_path):
     index = TextIndex(str(tmp_path / "index"))
     index.write(spark.createDataFrame([], ROW))
     assert index.like(spark, "steel").count() == 0 == index.like(spark, "%").count()
+
+
+def test_repeated_keys_in_several_slices_and_tasks_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "SLICE_BYTES", 40)
+    monkeypatch.setattr(textindex, "FILE_BYTES", 50)
+    rows = [(k % 5 if k % 7 else None, f"word{k % 3} Steel {'😀' if k % 4 else 'É'}ring{k}") for k in range(60)] + [(1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    index = TextIndex(str(tmp_path / "index"), "id", ("text",), parts=2)
+    index.write(docs)
+    for kw in ("steel", "ÉRING", "😀r", "ring59", "none of them"):
+        want = sorted(map(str, FL.contains_filter(docs, "text", kw, True).collect()))
+        assert sorted(map(str, index.contains(spark, "text", kw, True).collect())) == want, kw
+    # More texts mean more tasks, so that what one task holds does not grow with the table.
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "index" / "grams").glob("_b=*")) > 2
