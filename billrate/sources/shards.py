@@ -33,14 +33,14 @@ class ShardedTable:
     def _shard(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key).cast(self.fields[self.key])), F.lit(self.shards)).cast("int")
 
-    def _save(self, numbered: DataFrame, mode: str) -> None:
+    def _numbered(self, rows: DataFrame) -> DataFrame:
         # Rebalancing joins small shards in a task and splits large ones.
-        writer = numbered.hint("rebalance", F.col(SHARD)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", mode).partitionBy(SHARD).parquet(self.path)
+        return rows.select(*self.fields).withColumn(SHARD, self._shard(self.key)).hint("rebalance", F.col(SHARD))
 
     def write(self, rows: DataFrame) -> None:
         """Store ``rows`` in place of what was there."""
-        self._save(rows.select(*self.fields).withColumn(SHARD, self._shard(self.key)), "static")
+        writer = self._numbered(rows).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(SHARD).parquet(self.path)
 
     def read(self, shards: list[int] | None = None) -> DataFrame:
         """All rows, or those of some shards, whose folders alone are then read."""
@@ -68,16 +68,33 @@ class ShardedTable:
         numbers = self.touched(changes, key)
         rows, rejects = change(self.read(numbers), changes)
         rejects = stage(rejects, "shard-rejects")
-        new = rows.select(*self.fields).withColumn(SHARD, self._shard(self.key))
-        new = stage(new, "shard-rows")
+        new = stage(self._numbered(rows), "shard-rows", by=SHARD)
         filled = {r[SHARD] for r in new.select(SHARD).distinct().collect()}
         if not filled <= set(numbers):
             raise ValueError("the change brought rows of keys that no change names")
-        if filled:
-            self._save(new, "dynamic")
-        # Overwriting by partition leaves those alone that no row is left for.
-        paths = self.spark._jvm.org.apache.hadoop.fs.Path
-        for number in set(numbers) - filled:
-            folder = paths(f"{self.path}/{SHARD}={number}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._replace(new, numbers, filled)
         return rejects
+
+    def _replace(self, new: DataFrame, numbers: list[int], filled: set[int]) -> None:
+        """Put the folders of the staged rows in the place of the stored ones; those not filled go."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsc.hadoopConfiguration()
+        root, staged = path(self.path), path(new.inputFiles()[0]).getParent().getParent() if filled else None
+        files = root.getFileSystem(conf)
+        moved = staged is None or files.getUri().equals(staged.getFileSystem(conf).getUri())
+        if not moved:  # another store: the rows have to be copied
+            writer = new.hint("rebalance", F.col(SHARD)).write.mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(self.path)
+        for number in numbers:
+            here = path(root, f"{SHARD}={number}")
+            if number in filled and not moved:
+                continue
+            # Readers skip names that begin with an underscore; the old rows go last.
+            old = path(root, f"_old-{SHARD}={number}")
+            files.delete(old, True)
+            if files.exists(here) and not files.rename(here, old):
+                raise OSError(f"cannot replace {here}")
+            if number in filled and not files.rename(path(staged, f"{SHARD}={number}"), here):
+                raise OSError(f"cannot fill {here}")
+            files.delete(old, True)
+        self.spark.catalog.refreshByPath(self.path)

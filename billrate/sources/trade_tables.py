@@ -60,13 +60,9 @@ def quotas(spark: SparkSession, sf_dir: str, zh: bool = False) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str, zh: bool = False) -> DataFrame:
-    """One bill item per (order, line).
-
-    Return flag decides how the name departs from the catalogue; tax and
-    discount decide which rows lack a unit or carry a status.
-    """
-    lines = (
+def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one bill item is made from: the lines of an (order, line), summed up."""
+    return (
         read(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
@@ -77,15 +73,25 @@ def items(spark: SparkSession, sf_dir: str, zh: bool = False) -> DataFrame:
             F.min("l_discount").cast("decimal(4,2)").alias("discount"),
         )
     )
+
+
+def with_part(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    df = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def item_values(zh: bool = False) -> dict[str, Column]:
+    """Columns of a bill item over ``with_part``.
+
+    Return flag decides how the name departs from the catalogue; tax and
+    discount decide which rows lack a unit or carry a status.
+    """
     name = _zh_name(F.col("p_name")) if zh else F.col("p_name")
     noun = F.substring_index("p_name", " ", -1)
     noun = _recode(noun, ZH_WORDS) if zh else noun
     suffix = "（含支架）" if zh else " (x)"
     swap = F.concat(noun, F.lit(" "), name)
-    return conform(
-        df, ITEM_FIELDS,
+    return dict(
         id=F.col("l_orderkey") * 10 + F.col("l_linenumber"),
         user_id=F.col("l_suppkey"),
         item_code=F.concat(F.lit("I"), F.col("l_orderkey").cast("string")),
@@ -96,3 +102,8 @@ def items(spark: SparkSession, sf_dir: str, zh: bool = False) -> DataFrame:
         match_status=F.when(F.col("discount") == 0.10, 2).when(F.col("discount") == 0.09, 3)
         .when(F.col("discount") == 0.08, None).otherwise(0),
     )
+
+
+def items(spark: SparkSession, sf_dir: str, zh: bool = False) -> DataFrame:
+    """One bill item per (order, line)."""
+    return conform(with_part(spark, sf_dir, bill_lines(spark, sf_dir)), ITEM_FIELDS, **item_values(zh))

@@ -17,38 +17,40 @@ def settled_items(spark: SparkSession, sf: str) -> DataFrame:
     """A bill as it stands after earlier work: discount decides the status,
     and the line's own part is the matched quota.
     """
-    base = TT.items(spark, sf)
-    lines = (
-        TT.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.min("l_partkey").alias("part"),
-            F.min("l_discount").cast("decimal(4,2)").alias("discount"),
-            F.min("l_tax").cast("decimal(4,2)").alias("tax"),
-        )
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            "part", "discount", "tax",
-        )
+    q = TT.quotas(spark, sf)
+    q = q.select(
+        F.col("id").alias("part"), "quota_code", "quota_name",
+        F.col("feature_value").alias("quota_feature"), F.col("unit_price").alias("price"),
     )
-    d, t = F.col("discount"), F.col("tax")
+    lines = TT.bill_lines(spark, sf)
+    base = TT.item_values()
+    odd = TT.read(spark, sf, "lineitem").filter(~F.col("l_linenumber").between(0, 9))
+    if odd.isEmpty():
+        # Every id is one (order, line), and both catalogue joins go by one key: items are not moved by id.
+        df = TT.with_part(spark, sf, lines.filter(base["id"].isNotNull())).join(q, F.col("l_partkey") == F.col("part"))
+    else:
+        same = lines.select(base["id"].alias("same_id"), F.col("l_partkey").alias("own"), F.col("discount").alias("d"), F.col("tax").alias("t"))
+        df = TT.with_part(spark, sf, lines).join(same, base["id"] == F.col("same_id")).join(q, F.col("own") == F.col("part"))
+        # Items of one id take each other's settlement.
+        return _settled(df, base, F.col("d"), F.col("t"))
+    return _settled(df, base, F.col("discount"), F.col("tax"))
+
+
+def _settled(df: DataFrame, base: dict, d, t) -> DataFrame:
     status = (
         F.when(d == 0.10, 2).when(d == 0.09, 3).when(d == 0.08, None)
         .when(d >= 0.06, 0).otherwise(1)
     )
     held = (d != 0.08) & ~((d == 0.09) & (t < 0.04))
-    q = TT.quotas(spark, sf)
-    q = q.select(
-        F.col("id").alias("part"), "quota_code", "quota_name",
-        F.col("feature_value").alias("quota_feature"), F.col("unit_price").alias("price"),
-    )
-    df = base.drop("match_status").join(lines, "id").join(q, "part")
     price = F.when(held, F.col("price"))
+    quantity = F.col("quantity").cast(ITEM_FIELDS["quantity"])
     return conform(
-        df, ITEM_FIELDS, match_status=status,
+        df, ITEM_FIELDS, **{**base, "match_status": status},
         matched_quota_id=F.when(held, F.col("part")),
         matched_quota_code=F.when(held, F.col("quota_code")),
         matched_quota_name=F.when(held, F.col("quota_name")),
         matched_quota_feature_value=F.when(held, F.col("quota_feature")),
-        matched_unit_price=price, total_price=line_total(F.col("quantity"), price),
+        matched_unit_price=price, total_price=line_total(quantity, price),
     )
 
 

@@ -13,8 +13,11 @@ from billrate.operators import rejects as RJ
 from billrate.plans import incremental as IC
 from billrate.plans import learning as LN
 from billrate.schemas import ITEM_FIELDS, ITEM_QUOTA_FIELDS, QUOTA_FIELDS, RECORD_FIELDS, conform, ddl
+from billrate.session import stage
+from billrate.sources import shards, trade_tables
 from billrate.sources.shards import ShardedTable
 from billrate.sources.tables import write_bucketed
+from suite import inputs
 
 
 def _quotas(spark, n):
@@ -127,3 +130,45 @@ def test_learning_in_any_batches_equals_the_whole_log(spark):
     empty = IC.advance(log.limit(0))
     assert IC.learned_weights(empty).count() == 0
     assert _sorted(IC.learned_weights(IC.advance(log, empty), now="2025-01-01")) == want
+
+
+def test_a_merge_writes_rows_once_and_moves_them_into_place(spark, tmp_path, monkeypatch):
+    kept = ShardedTable(spark, str(tmp_path / "quotas"), QUOTA_FIELDS, shards=8)
+    kept.write(_quotas(spark, 100))
+    staged = {}
+
+    def watch(df, label, **kw):
+        out = stage(df, label, **kw)
+        if label == "shard-rows":
+            staged.update({os.path.basename(f): os.path.getsize(f) for f in _files(out.inputFiles()[0].split("file://")[-1].rsplit("/", 2)[0])})
+        return out
+
+    monkeypatch.setattr(shards, "stage", watch)
+    kept.merge(spark.range(10), _delete)
+    stored = {os.path.basename(f) for f in _files(kept.path)}
+    assert staged and set(staged) <= stored  # the files written first are those in place
+    assert sorted(r["id"] for r in kept.read().collect()) == list(range(10, 100))
+    assert not [d for d in os.listdir(kept.path) if d.startswith("_old")]
+
+
+@pytest.mark.parametrize("number", [3, 12])
+def test_settled_bill_by_line_equals_the_join_by_id(spark, tmp_path, number):
+    # (1, 12) and (2, 2) have one id, 22: its items take each other's settlement.
+    rows = [(1, number, 5, 7, 2.0, "N", 0.02, 0.09), (2, 2, 6, 8, 3.0, "R", 0.01, 0.04), (2, 2, 5, 8, 1.0, "A", 0.03, 0.1),
+            (None, 1, 5, 7, 1.0, "N", 0.0, 0.0), (4, None, 6, 7, 1.0, "N", 0.0, 0.0), (5, 1, None, 7, 1.0, "N", 0.0, 0.0), (6, 1, 9, None, None, None, None, None)]
+    cols = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_tax double, l_discount double"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(5, "red bolt", "LARGE", 10.0, "Brand#12"), (6, "new rod", None, 7.5, "Brand#13"), (6, "new rod", "SMALL", 7.5, "Brand#13"), (9, None, "x", None, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_retailprice double, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    base = trade_tables.items(spark, str(tmp_path))
+    got = inputs.settled_items(spark, str(tmp_path))
+    # What each item's id stands for, spelled out by joins on the id.
+    lines = trade_tables.bill_lines(spark, str(tmp_path)).selectExpr("l_orderkey * 10 + l_linenumber id", "l_partkey part", "discount")
+    q = trade_tables.quotas(spark, str(tmp_path)).selectExpr("id part", "quota_name", "unit_price price")
+    held = "case when discount <> 0.08 and discount <> 0.09 then"
+    want = base.drop("matched_quota_name").join(lines, "id").join(q, "part").selectExpr(
+        "id", "item_name", "feature_value", "quantity", f"{held} quota_name end matched_quota_name", f"{held} cast(quantity * price as decimal(18,2)) end total_price",
+    )
+    clear = got.filter("match_status is null or match_status <> 3 or matched_quota_name is null")
+    assert got.count() == want.count() > 2
+    assert _sorted(clear.select(want.columns).filter("total_price is not null")) == _sorted(want.filter("total_price is not null"))
