@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
 Documents are sets of five-word shingles, each with a 64-bit hash; equal sets are one node.
-Candidates come from MinHash: ``bands`` buckets a node, each over ``rows`` minima, so a pair of
-similarity ``s`` meets with probability 1 - (1 - s^rows)^bands (all but 1.5e-5 at 0.8).  Every
-candidate is checked on the whole sets, so no pair below ``least`` is a link.  Every bucket
-has a leader.  A node is first held against the leader it meets most often, then against its
+Candidates come from SimHash: every node has a fingerprint of its set, and the anchors of
+``simhash`` lead to all pairs of fingerprints within two bits.  A pair of similarity 0.8 differs in
+some ten bits, so MinHash adds those further apart: ``bands`` buckets a node, each over ``rows``
+minima, so a pair of similarity ``s`` meets with probability 1 - (1 - s^rows)^bands (all but 1.5e-5
+at 0.8).  Every candidate is checked on the whole sets, so no pair below ``least`` is a link.  Every
+bucket has a leader.  A node is first held against the leader it meets most often, then against its
 other leaders that are not in its component yet; last, nodes of a bucket that lie in different
 components are compared: in buckets of up to ``crowd`` nodes pair by pair, in others by what they
 differ in.
@@ -38,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from billrate.llm import simhash
 from billrate.llm.common import NO_ID, arrow_map, doc_key, slices
 from billrate.llm.components import components
 from billrate.session import broadcast_if_small, stage, temporary
@@ -88,8 +91,17 @@ def buckets(found: np.ndarray, params: NearParams = NearParams()) -> np.ndarray:
     return _mix(joined + np.arange(params.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if over half of the shingles have it."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(found), 1 << 15):
+        part = found[a : a + (1 << 15)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
+
+
 def signatures(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """doc_id, tk, node (digest of the shingle set), size of the set and its buckets, of every row."""
+    """doc_id, tk, node (digest of the shingle set), size, fingerprint and buckets of the set, of every row."""
     def run(batches):
         for batch in batches:
             for start, texts in slices(batch.column(2)):
@@ -98,11 +110,12 @@ def signatures(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
                     *(batch.column(k).slice(start, len(texts)) for k in range(2)),
                     pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([buckets(s, params) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "tk", "node", "size", "buckets"])
+                ], names=["doc_id", "tk", "node", "size", "fp", "buckets"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
-    return arrow_map(keyed, run, "doc_id long, tk long, node long, size long, buckets array<long>")
+    return arrow_map(keyed, run, "doc_id long, tk long, node long, size long, fp long, buckets array<long>")
 
 
 def _ordered(u, v):
@@ -218,6 +231,18 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
     return stage(near.unionByName(far), "near-close")
 
 
+def anchored(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are within the threshold of ``simhash``.
+
+    The least node of a fingerprint stands for all that have it.
+    """
+    prints = stage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    of = lambda c: prints.toDF(c, f"n{c}")
+    near = simhash.links(prints).join(of("u"), "u").join(of("v"), "v").select(*_ordered(F.col("nu"), F.col("nv")))
+    same = nodes.select("node", "fp").join(prints.toDF("fp", "other"), "fp").filter("node != other")
+    return stage(near.unionByName(same.select(*_ordered(F.col("node"), F.col("other")))), "near-anchored")
+
+
 def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """Verified pairs that join all candidate pairs of similarity ``least`` or more to components."""
     met = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -228,7 +253,8 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams())
         members.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count("*").alias("times")), "near-tried"
     )
     most = F.max_by("leader", F.struct("times", "leader")).alias("leader")
-    chosen = tried.groupBy("node").agg(most).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
+    chosen = tried.groupBy("node").agg(most).select(*_ordered(F.col("node"), F.col("leader")))
+    chosen = stage(chosen.unionByName(anchored(nodes)).distinct(), "near-chosen")
     first = verified(docs, nodes, chosen, params)
     others = tried.select(*_ordered(F.col("node"), F.col("leader"))).distinct()
     others = stage(_apart(others, components(first)).join(chosen, ["u", "v"], "left_anti"), "near-others")
@@ -255,7 +281,7 @@ def groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """One row per row of ``docs``: doc_id, tk, node and root (the group)."""
     marked = stage(signatures(docs, params), "signatures")
     row = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), "tk")).alias("row")
-    nodes = stage(marked.groupBy("node").agg(row, F.first("size").alias("size"), F.first("buckets").alias("buckets")), "near-nodes")
+    nodes = stage(marked.groupBy("node").agg(row, *[F.first(c).alias(c) for c in ("size", "fp", "buckets")]), "near-nodes")
     with temporary(docs.sparkSession) as keep:
         roots = keep(components(links(docs, nodes, params)), "near-roots")
     return (

@@ -29,7 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more.
 
-    Candidates come from MinHash bands, not from SimHash anchors, as 0.8 is some ten of 64 bits.
+    Candidates come from SimHash anchors; as 0.8 is some ten of 64 bits, MinHash bands add those
+    beyond their two.  All are checked on the whole shingle sets.
     """
     return neardup.keep_one(docs)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -139,3 +140,18 @@ def test_differences_join_all_links_of_one_group(spark):
         low, high = sorted((find(u), find(v)))
         root[high] = low
     assert len({find(i) for i in root}) == len(least_of_groups(list(enumerate(rows))))
+
+
+def test_simhash_anchors_lead_to_near_copies_without_minhash(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    far = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(["begin", *words])), (4, " ".join(far)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = neardup.signatures(docs).cache()
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    found = neardup.anchored(nodes).collect()
+    assert found and all({of[r.u], of[r.v]} <= {1, 2, 3} for r in found)
+    # No bucket has two of them: the anchors alone lead to the copies.
+    alone = neardup.NearParams(bands=1, rows=2000)
+    assert [r.doc_id for r in neardup.keep_one(docs, alone).orderBy("doc_id").collect()] == [1, 4, 5]
