@@ -66,6 +66,7 @@ class ShardedTable:
         """
         changes = stage(changes, "shard-changes")
         numbers = self.touched(changes, key)
+        self._recover(numbers)
         rows, rejects = change(self.read(numbers), changes)
         rejects = stage(rejects, "shard-rejects")
         new = stage(self._numbered(rows), "shard-rows", by=SHARD)
@@ -75,6 +76,16 @@ class ShardedTable:
         self._replace(new, numbers, filled)
         return rejects
 
+    def _recover(self, numbers: list[int]) -> None:
+        """Bring back the old rows of shards that a broken batch had set aside but not replaced."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for number in numbers:
+            here, old = path(root, f"{SHARD}={number}"), path(root, f"_old-{SHARD}={number}")
+            if files.exists(old) and not files.exists(here) and not files.rename(old, here):
+                raise OSError(f"cannot bring back {here}")
+
     def _replace(self, new: DataFrame, numbers: list[int], filled: set[int]) -> None:
         """Put the folders of the staged rows in the place of the stored ones; those not filled go."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path

@@ -172,3 +172,13 @@ def test_settled_bill_by_line_equals_the_join_by_id(spark, tmp_path, number):
     clear = got.filter("match_status is null or match_status <> 3 or matched_quota_name is null")
     assert got.count() == want.count() > 2
     assert _sorted(clear.select(want.columns).filter("total_price is not null")) == _sorted(want.filter("total_price is not null"))
+
+
+def test_a_merge_after_a_broken_one_finds_the_old_rows(spark, tmp_path):
+    kept = ShardedTable(spark, str(tmp_path / "quotas"), QUOTA_FIELDS, shards=4)
+    kept.write(_quotas(spark, 40))
+    number = kept.touched(spark.range(1))[0]
+    os.rename(f"{kept.path}/shard={number}", f"{kept.path}/_old-shard={number}")
+    kept.merge(spark.range(1), _delete)
+    assert sorted(r["id"] for r in kept.read().collect()) == list(range(1, 40))
+    assert not [d for d in os.listdir(kept.path) if d.startswith("_old")]
