@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -45,6 +43,46 @@ def grams(runs: list[str]) -> list[str]:
     return sorted({g.lower() for g in found if not _ODD & set(g) and len(g.lower()) == len(g)})
 
 
+def gram_rows(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The letter pairs and triples of the texts, and one after the other the rows that hold each.
+
+    The rows of gram ``g`` are those from place ``ends[g]`` on to ``ends[g + 1]``.
+    """
+    points = np.frombuffer("".join(x or "" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = [len(x or "") for x in texts]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    letters = np.flatnonzero(np.bincount(points))
+    place = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, np.int32)
+    place[letters] = np.arange(len(letters))
+    at = place[points]
+    found, counts, held = [], [], []
+    for size in (2, 3):
+        n = max(0, len(points) - size + 1)
+        whole = row[:n] == row[len(row) - n :]  # not beyond the end of its text
+        code = np.zeros(n, np.int64)  # a Unicode letter takes 21 bits at most
+        for k in range(size):
+            code *= len(letters)
+            code += at[k : k + n]
+        code = code[whole]
+        if len(letters) ** size * len(texts) >= 1 << 63:
+            codes, code = np.unique(code, return_inverse=True)
+        else:
+            codes = None
+        code *= len(texts)
+        code += row[:n][whole]
+        code.sort()
+        both = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+        gram, rows = np.divmod(both, max(1, len(texts)))
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        gram = gram[first] if codes is None else codes[gram[first]]
+        said = np.stack([letters[gram // len(letters) ** (size - 1 - k) % len(letters)] for k in range(size)], axis=1) if len(gram) else letters[:0]
+        said = said.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        found += [said[k : k + size] for k in range(0, len(said), size)]
+        counts.append(np.diff(np.append(first, len(rows))))
+        held.append(rows)
+    return found, np.cumsum(np.concatenate([[0], *counts])), np.concatenate(held)
+
+
 def _postings(cols: int):
     """Arrow function: of rows of a key and ``cols`` lower-case texts, which texts hold which gram.
 
@@ -65,15 +103,10 @@ def _postings(cols: int):
         for batch in batches:
             for col in range(cols):
                 for a, b in slices(batch.column(col + 1)):
-                    held = defaultdict(list)
-                    for row, x in enumerate(batch.column(col + 1).slice(a, b - a).to_pylist()):
-                        for gram in {x[k : k + size] for size in (2, 3) for k in range(len(x) - size + 1)} if x else ():
-                            held[gram].append(row)
-                    rows = np.fromiter(chain.from_iterable(held.values()), np.int64)
-                    ends = np.cumsum([0, *map(len, held.values())])
+                    found, ends, rows = gram_rows(batch.column(col + 1).slice(a, b - a).to_pylist())
                     keys = batch.column(0).slice(a, b - a).take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(held), col), pa.int32()), pa.array(list(held), pa.string()),
+                        [pa.array(np.full(len(found), col), pa.int32()), pa.array(found, pa.string()),
                          pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)], names=["col", "gram", "keys"],
                     )
 
@@ -114,7 +147,9 @@ class TextIndex:
         rows = rows.repartition(tasks, "_p", cut).sortWithinPartitions("_p", self.key)
         rows.write.mode("overwrite").partitionBy("_p").parquet(f"{self.root}/rows")
         layout = StructType().add("col", "integer").add("gram", "string").add("keys", ArrayType(df.schema[self.key].dataType))
-        found = df.select(self.key, *texts).mapInArrow(_postings(len(texts)), layout)
+        # A scan goes by compressed bytes and by files, so the texts are dealt before the long step.
+        dealt = df.repartition(tasks, self.key, *self.cols).select(self.key, *texts)
+        found = dealt.mapInArrow(_postings(len(texts)), layout)
         found = found.withColumn("_b", F.pmod(F.crc32("gram"), F.lit(self.parts)))
         # The first key is part of the order, so a very common gram is spread over several files.
         cut = F.pmod(F.xxhash64("gram", F.col("keys")[0]), F.lit(cuts))

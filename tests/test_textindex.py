@@ -66,3 +66,17 @@ def test_repeated_keys_in_several_slices_and_tasks_by_size(spark, tmp_path, monk
         assert sorted(map(str, index.contains(spark, "text", kw, True).collect())) == want, kw
     # More texts mean more tasks, so that what one task holds does not grow with the table.
     assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "index" / "grams").glob("_b=*")) > 2
+
+
+def test_grams_and_their_rows():
+    rng = random.Random(5)
+    letters = ["ab混𠀀 \n", "".join(chr(rng.randrange(0x10000, 0x110000)) for _ in range(9000))]
+    for some in letters:
+        texts = [rng.choice([None, "", "".join(rng.choices(some, k=rng.randrange(12)))]) for _ in range(300)]
+        want = {}
+        for row, x in enumerate(texts):
+            for gram in {x[k : k + size] for size in (2, 3) for k in range(len(x) - size + 1)} if x else ():
+                want.setdefault(gram, []).append(row)
+        found, ends, rows = textindex.gram_rows(texts)
+        assert {g: rows[ends[k] : ends[k + 1]].tolist() for k, g in enumerate(found)} == want
+    assert textindex.gram_rows([None, ""])[0] == [] == textindex.gram_rows([])[0]
