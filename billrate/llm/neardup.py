@@ -133,19 +133,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, params: NearPara
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), sets], names=["node", "set"])
 
     keyed = docs.select(*doc_key(), F.col("text").cast("binary").alias("raw"))
-    texts = keyed.join(stage(shown, "near-needed"), ["dk", "tk"]).select("node", "raw").dropDuplicates(["node"])
+    # The same join at every size: the documents are dealt by key once for all steps.
+    texts = keyed.join(stage(shown, "near-needed").hint("merge"), ["dk", "tk"]).select("node", "raw").dropDuplicates(["node"])
     return stage(arrow_map(texts, cut, "node long, set array<long>"), "near-sets")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, params: NearParams) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole shingle sets have similarity ``least`` or more."""
+def verified(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, params: NearParams) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole shingle ``sets`` have similarity ``least`` or more."""
     sizes = nodes.select("node", "size")
     fit = stage(
         pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
         .filter(F.least("a", "b") >= params.least * F.greatest("a", "b")).select("u", "v"), "near-pairs",
     )
-    needed = fit.select(F.col("u").alias("node")).union(fit.select("v")).distinct()
-    sets = _sets(docs, nodes, needed, params)
 
     def check(batches):
         for batch in batches:
@@ -170,7 +169,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
-def _differences(docs: DataFrame, nodes: DataFrame, met: DataFrame, params: NearParams) -> DataFrame:
+def _differences(
+    docs: DataFrame, nodes: DataFrame, met: DataFrame, params: NearParams, sets: DataFrame | None = None
+) -> DataFrame:
     """g (group), node, root, size, d (difference to the group's centre), e (excess) and its class.
 
     ``met`` has (node, leader, root).  A class is a quarter of what the centre allows wide.
@@ -178,7 +179,8 @@ def _differences(docs: DataFrame, nodes: DataFrame, met: DataFrame, params: Near
     r = (1 - params.least) / (1 + params.least)
     of = components(met.select(F.col("node").alias("u"), F.col("leader").alias("v"))).toDF("node", "g")
     known = met.select("node", "root").distinct().join(of, "node").join(nodes.select("node", "size"), "node")
-    sets = _sets(docs, nodes, met.select("node").distinct(), params)
+    if sets is None:
+        sets = _sets(docs, nodes, met.select("node").distinct(), params)
     held = stage(known.join(sets, "node"), "near-held")
     among = held.groupBy("g").agg(F.count("*").alias("m"))
     often = held.select("g", F.explode("set").alias("x")).groupBy("g", "x").agg(F.count("*").alias("n"))
@@ -255,10 +257,14 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams())
     most = F.max_by("leader", F.struct("times", "leader")).alias("leader")
     chosen = tried.groupBy("node").agg(most).select(*_ordered(F.col("node"), F.col("leader")))
     chosen = stage(chosen.unionByName(anchored(nodes)).distinct(), "near-chosen")
-    first = verified(docs, nodes, chosen, params)
+    # Every node that may be in a pair of any step; the sets are cut once.
+    pairs = chosen.unionByName(tried.select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = _sets(docs, nodes, needed, params)
+    first = verified(sets, nodes, chosen, params)
     others = tried.select(*_ordered(F.col("node"), F.col("leader"))).distinct()
     others = stage(_apart(others, components(first)).join(chosen, ["u", "v"], "left_anti"), "near-others")
-    found = stage(first.unionByName(verified(docs, nodes, others, params)), "near-led")
+    found = stage(first.unionByName(verified(sets, nodes, others, params)), "near-led")
     roots = stage(components(found), "near-led-roots")
 
     split = stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-split")
@@ -270,10 +276,10 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams())
     facing = few.join(few.toDF("bucket", "node2", "root2"), "bucket").filter("node < node2 and root != root2")
     across = stage(facing.select(*_ordered(F.col("node"), F.col("node2"))).distinct(), "near-across")
     if not across.isEmpty():
-        found = stage(found.unionByName(verified(docs, nodes, across, params)), "near-few")
+        found = stage(found.unionByName(verified(sets, nodes, across, params)), "near-few")
     dense = stage(open_.filter(crowded).select("node", "leader", "root").distinct(), "near-dense")
     if not dense.isEmpty():
-        found = found.unionByName(_close(_differences(docs, nodes, dense, params), params))
+        found = found.unionByName(_close(_differences(docs, nodes, dense, params, sets), params))
     return found
 
 

@@ -155,3 +155,20 @@ def test_simhash_anchors_lead_to_near_copies_without_minhash(spark):
     # No bucket has two of them: the anchors alone lead to the copies.
     alone = neardup.NearParams(bands=1, rows=2000)
     assert [r.doc_id for r in neardup.keep_one(docs, alone).orderBy("doc_id").collect()] == [1, 4, 5]
+
+
+def test_sets_are_cut_once_for_all_steps(spark, monkeypatch):
+    # Links, pairs of small buckets and a crowded bucket: every step reads the same sets.
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    rows = []
+    for k in range(14):
+        said = list(base)
+        for at in rng.sample(range(120), 4 if k % 2 else 1):
+            said[at] = f"x{k}a{at}"
+        rows.append((k, " ".join(said)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    calls, cut = [], neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda *a: calls.append(1) or cut(*a))
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == least_of_groups(rows)
+    assert len(calls) == 1
