@@ -19,8 +19,10 @@ e = |d| - r n of a node, a link needs (e1 + e2) / 2 common shingles in d1 and d2
 
 * nodes whose excesses add up to zero or less are links, and all of them are links of the node of
   least excess as well, so that one joins them to one component;
-* others share one of the |d| - need + 1 rarest shingles of their differences, with ``need`` from
-  the least excess of the partner's class of excess; only those are joined.
+* others share a shingle of their differences that has, in the order from the rarest on, (e1 + e2) / 2
+  shingles or more from it to the end in both.  Nodes are put into classes of excess, large components
+  apart; a shingle of a node is sent to a class only if either has enough shingles left there, and if
+  the class holds it in another component.
 
 Copies of one template cost as much as what they differ in; a group of unlike texts has no centre,
 and what is left is the rarest-first prefix join of whole sets.  Both are exact.
@@ -45,6 +47,8 @@ from billrate.llm.common import NO_ID, arrow_map, doc_key, slices
 from billrate.llm.components import components
 from billrate.session import broadcast_if_small, stage, temporary
 
+LARGE = 16  # nodes of a component that is a side of its own among the differences of a group
+
 
 @dataclass(frozen=True)
 class NearParams:
@@ -199,29 +203,50 @@ def _differences(
 
 def _close(found: DataFrame, params: NearParams) -> DataFrame:
     """Links (u, v) between the components (root) of ``found`` that join all its links."""
-    least = stage(found.groupBy("g").agg(F.min(F.struct("e", "node", "root")).alias("z")), "near-least")
-    apart = F.col("root") != F.col("z.root")
-    near = found.join(broadcast_if_small(least), "g").filter((F.col("e") + F.col("z.e") <= 1e-6) & apart)
-    near = near.select(*_ordered(F.col("node"), F.col("z.node")))
-
-    shingle = found.select("g", "node", "c", F.explode("d").alias("x"))
+    least = stage(found.groupBy("g").agg(F.min(F.struct("e", "node", "root", "c")).alias("z")), "near-least")
+    known = found.select("g", "node", "root", "e", "c", "wide").join(broadcast_if_small(least), "g")
+    near = known.filter((F.col("e") + F.col("z.e") <= 1e-6) & (F.col("root") != F.col("z.root")))
+    near = stage(near.select("g", "root", *_ordered(F.col("node"), F.col("z.node"))), "near-least-links")
+    # What these links have joined is one component from here on.
+    joined = stage(near.select("g", "root").distinct().withColumn("one", F.lit(True)), "near-joined")
+    root = F.when(F.col("one"), F.col("z.root")).otherwise(F.col("root")).alias("root")
+    known = known.join(broadcast_if_small(joined), ["g", "root"], "left")
+    known = known.select("g", "node", root, "e", "c", "wide", F.col("z.c").alias("low"))
+    # Nodes of one component never meet: a large one is a side of its own, all others are one side.
+    large = known.groupBy("g", "root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE)
+    large = stage(large.select("g", "root", F.col("root").alias("side")), "near-large")
+    facts = known.join(broadcast_if_small(large), ["g", "root"], "left").withColumn("side", F.coalesce("side", F.lit(NO_ID)))
+
+    shingle = found.select("g", "node", F.explode("d").alias("x"))
     # Shingles of one node alone are its rarest: they take places but meet nothing.
-    often = shingle.groupBy("g", "x").agg(F.count("*").alias("n"), F.collect_set("c").alias("classes")).filter("n > 1")
+    often = shingle.groupBy("g", "x").agg(F.count("*").alias("n")).filter("n > 1")
     one = Window.partitionBy("g", "node")
-    placed = shingle.drop("c").join(often, ["g", "x"]).select(
-        "*", F.row_number().over(one.orderBy("n", "x")).alias("k"), F.count("*").over(one).alias("among")
+    rest = F.count("*").over(one) - F.row_number().over(one.orderBy("n", "x")) + 1
+    # ``room`` is the most that the excess of a partner may be whose first common shingle this is.
+    placed = (
+        shingle.join(often, ["g", "x"]).select("g", "node", "x", rest.alias("rest")).join(facts, ["g", "node"])
+        .withColumn("room", 2 * F.col("rest") + F.lit(2e-6) - F.col("e"))
+        .withColumn("reach", F.floor(F.col("room") / F.col("wide"))).filter("reach >= low")
+        .select("g", "x", "c", "side", "node", "root", "e", "room", "reach")
     )
-    facts = found.select("g", "node", "root", "e", "c", "wide", F.size("d").alias("nd"))
-    last = lambda to: F.col("nd") + 1 - F.greatest(
-        F.lit(1), F.ceil((F.col("e") + to * F.col("wide")) / 2 - 1e-6)
+    placed = stage(placed, "near-placed")
+    by_class = placed.groupBy("g", "x", "c", "side").agg(
+        F.max("reach").alias("reach"), F.min("root").alias("first"), F.max("root").alias("last")
     )
-    place = F.col("nd") - F.col("among") + F.col("k")
-    to = F.explode(F.filter("classes", lambda c: place <= last(c))).alias("to")
-    sent = stage(placed.join(facts, ["g", "node"]).select("g", "x", "c", "node", "root", to), "near-sent")
-    other = sent.toDF("g", "x", "to", "node2", "root2", "c")
+    partners = by_class.groupBy("g", "x").agg(F.collect_list(F.struct("c", "side", "reach", "first", "last")).alias("partners"))
+
+    def meets(p):
+        other = (p["first"] != F.col("root")) | (p["last"] != F.col("root"))
+        return (p["c"] <= F.col("reach")) & (p["reach"] >= F.col("c")) & other
+
+    sent = placed.join(partners, ["g", "x"]).withColumn("p", F.explode(F.filter("partners", meets)))
+    both = ["node", "root", "e", "room"]
+    to = [F.col("p.c").alias("to"), F.col("p.side").alias("to_side")]
+    sent = stage(sent.select("g", "x", "c", "side", *to, *both), "near-sent")
+    other = sent.toDF("g", "x", "to", "to_side", "c", "side", *[f"{k}2" for k in both])
     met = (
-        sent.join(other, ["g", "x", "c", "to"]).filter((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")))
-        .select("g", "node", "node2").distinct()
+        sent.join(other, ["g", "x", "c", "side", "to", "to_side"])
+        .filter("node < node2 and root != root2 and e2 <= room and e <= room2").select("g", "node", "node2").distinct()
     )
     side = found.select("g", "node", "size", "d")
     same = (F.col("size") + F.col("size2") - F.size("d") - F.size("d2")) / 2 + F.size(F.array_intersect("d", "d2"))
@@ -230,7 +255,7 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
         .filter(same >= F.lit(params.least) * (F.col("size") + F.col("size2") - same) - 1e-6)
         .select(*_ordered(F.col("node"), F.col("node2")))
     )
-    return stage(near.unionByName(far), "near-close")
+    return stage(near.select("u", "v").unionByName(far), "near-close")
 
 
 def anchored(nodes: DataFrame) -> DataFrame:

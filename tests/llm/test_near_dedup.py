@@ -172,3 +172,30 @@ def test_sets_are_cut_once_for_all_steps(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_sets", lambda *a: calls.append(1) or cut(*a))
     assert {r.doc_id for r in neardup.keep_one(docs).collect()} == least_of_groups(rows)
     assert len(calls) == 1
+
+
+def test_few_shingles_are_sent_to_other_classes(spark, monkeypatch):
+    # One template, changes from a few words: differences share shingles, components large and small.
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(9000)}" for _ in range(60)]
+    rows = []
+    for k in range(240):
+        said = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 1, 3, 4, 5))):
+            said[at] = f"v{rng.randrange(6)}"
+        rows.append((k, " ".join(said if k % 3 else [*said[:30], *(f"u{at}" for at in range(30)), *said[30:]])))
+    sent, differences, kept = [], [], neardup.stage
+
+    def seen(df, label, *args, **more):
+        out = kept(df, label, *args, **more)
+        if label == "near-sent":
+            sent.extend(out.collect())
+        if label == "near-differences":
+            differences.append(out.agg(F.sum(F.size("d"))).first()[0])
+        return out
+
+    monkeypatch.setattr(neardup, "stage", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    params = neardup.NearParams(bands=60, rows=1)
+    assert {r.doc_id for r in neardup.keep_one(docs, params).collect()} == least_of_groups(rows)
+    assert 0 < len(sent) < differences[0] / 4
