@@ -208,14 +208,14 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
     near = known.filter((F.col("e") + F.col("z.e") <= 1e-6) & (F.col("root") != F.col("z.root")))
     near = stage(near.select("g", "root", *_ordered(F.col("node"), F.col("z.node"))), "near-least-links")
     # What these links have joined is one component from here on.
-    joined = stage(near.select("g", "root").distinct().withColumn("one", F.lit(True)), "near-joined")
+    joined = near.select("g", "root").distinct().withColumn("one", F.lit(True))
     root = F.when(F.col("one"), F.col("z.root")).otherwise(F.col("root")).alias("root")
-    known = known.join(broadcast_if_small(joined), ["g", "root"], "left")
+    known = known.join(joined, ["g", "root"], "left")
     known = known.select("g", "node", root, "e", "c", "wide", F.col("z.c").alias("low"))
     # Nodes of one component never meet: a large one is a side of its own, all others are one side.
     large = known.groupBy("g", "root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE)
     large = stage(large.select("g", "root", F.col("root").alias("side")), "near-large")
-    facts = known.join(broadcast_if_small(large), ["g", "root"], "left").withColumn("side", F.coalesce("side", F.lit(NO_ID)))
+    facts = known.join(large, ["g", "root"], "left").withColumn("side", F.coalesce("side", F.lit(NO_ID)))
 
     shingle = found.select("g", "node", F.explode("d").alias("x"))
     # Shingles of one node alone are its rarest: they take places but meet nothing.
