@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billrate.session import stage
+from billrate.session import shuffled_if_large, stage
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     sides = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stage(sides.groupBy("u").agg(F.min("v").alias("low")), "edge-least")
     low = F.least("u", "low")
-    joined = sides.join(least, "u")
+    joined = sides.join(shuffled_if_large(least), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), low.alias("v"))
     else:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from billrate.llm.common import NO_ID, arrow_map, doc_key, slices
 from billrate.llm.components import components
-from billrate.session import stage
+from billrate.session import shuffled, shuffled_if_large, stage
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -138,7 +138,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     homes, copies = cover(0).withColumnRenamed("fp", "u"), cover(threshold).withColumnRenamed("fp", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
-    return homes.join(copies, "anchor").filter((F.col("u") > F.col("v")) & near).select("u", "v")
+    # Some 60 copies a fingerprint, which their estimate does not know.
+    return homes.join(shuffled(copies), "anchor").filter((F.col("u") > F.col("v")) & near).select("u", "v")
 
 
 def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -147,12 +148,12 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE)
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     roots = stage(components(links(nodes, threshold)), "fp-roots")
     rooted = stage(
-        nodes.join(roots, nodes.fp == roots.node, "left")
+        nodes.join(shuffled_if_large(roots), nodes.fp == roots.node, "left")
         .select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-rooted",
     )
     names = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "fp-names")
-    named = stage(rooted.join(names, "root").select("fp", "root", "component_id"), "fp-named")
-    return marked.join(named, "fp").select("doc_id", "tk", "fp", "root", "component_id")
+    named = stage(rooted.join(shuffled_if_large(names), "root").select("fp", "root", "component_id"), "fp-named")
+    return marked.join(shuffled_if_large(named), "fp").select("doc_id", "tk", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -170,4 +171,4 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE
     dk, tk = doc_key()
     keyed = docs.select("*", dk.alias("_sh_dk"), tk.alias("_sh_tk"))
     keys = ["_sh_dk", "_sh_tk"]
-    return keyed.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(shuffled_if_large(winners), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 # A table may be sent whole to every executor only below these bounds.
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 128 << 20
+# Up to this estimate the optimizer may take a staged table for small.
+TRUSTED_BYTES = 1 << 20
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -168,3 +170,21 @@ def broadcast_if_small(
         return staged
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
     return F.broadcast(staged) if (staged.agg(size).first()[0] or 0) <= max_bytes else staged
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Merge hint for a table that grows with the input, so that no join sends it whole to the driver.
+
+    Estimates go by the bytes of files, which are compressed, and by the width of
+    columns, so they are far too low where an explode or an arrow map multiplies rows.
+    """
+    return df.hint("merge")
+
+
+def shuffled_if_large(staged: DataFrame) -> DataFrame:
+    """``shuffled`` for a staged table, or columns of one, unless it is tiny; starts no job.
+
+    A table of a few MB of files can be many times that in memory.
+    """
+    size = staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return shuffled(staged) if int(str(size)) > TRUSTED_BYTES else staged
