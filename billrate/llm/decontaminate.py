@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billrate.llm.common import arrow_map, doc_key, slices
-from billrate.session import stage
+from billrate.session import shuffled_if_large, stage
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _STEP = 0x9E3779B97F4A7C15
@@ -214,7 +214,7 @@ def overlaps(docs: DataFrame, items: DataFrame, params: SeedParams = SeedParams(
             )
 
     laid = (
-        diagonals.join(hits.select("dk", "tk", "words"), ["dk", "tk"])
+        shuffled_if_large(diagonals).join(hits.select("dk", "tk", "words"), ["dk", "tk"])
         .join(worded, "item_id").select("dk", "tk", "item_id", "shift", "words", "item")
     )
     proved = arrow_map(laid, verify, "dk long, tk long, item_id long, equal int, width int, place int")
@@ -236,7 +236,7 @@ def mark(docs: DataFrame, items: DataFrame, params: SeedParams = SeedParams()) -
     """``docs`` with a struct column ``leak``: contaminated, n_items, most, item_id."""
     dk, tk = doc_key()
     keyed = docs.select(*[c for c in docs.columns if c.lower() != "leak"], dk.alias("_dc_dk"), tk.alias("_dc_tk"))
-    seen = stage(flagged(docs, items, params), "leaks")
+    seen = shuffled_if_large(stage(flagged(docs, items, params), "leaks"))
     named = seen.select(F.col("dk").alias("_dc_dk"), F.col("tk").alias("_dc_tk"),
                         F.struct("n_items", "most", "item_id").alias("_dc"))
     leak = F.struct(
@@ -249,6 +249,6 @@ def mark(docs: DataFrame, items: DataFrame, params: SeedParams = SeedParams()) -
 def clear(docs: DataFrame, items: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """``docs`` without the documents that hold an overlap."""
     dk, tk = doc_key()
-    seen = stage(flagged(docs, items, params), "leaks").select(F.col("dk").alias("_dc_dk"), F.col("tk").alias("_dc_tk"))
+    seen = shuffled_if_large(stage(flagged(docs, items, params), "leaks")).select(F.col("dk").alias("_dc_dk"), F.col("tk").alias("_dc_tk"))
     keyed = docs.select("*", dk.alias("_dc_dk"), tk.alias("_dc_tk"))
     return keyed.join(seen, ["_dc_dk", "_dc_tk"], "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billrate.llm.common import doc_key
-from billrate.session import stage
+from billrate.session import shuffled_if_large, stage
 
 MIN_LINES = 2
 LONG = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){50}[^\x20\x09-\x0D]"
@@ -54,7 +54,7 @@ def _pair_up(suffixes: DataFrame, step: int) -> DataFrame:
     on = suffixes.select("dk", "tk", (F.col("i") - step).alias("i"), F.col("r").alias("r2")).filter("i >= 0")
     ends = F.col("i") + step >= F.col("n")
     return (
-        suffixes.join(on, POS, "left")
+        suffixes.join(shuffled_if_large(on), POS, "left")
         .withColumn("r2", F.when(ends, F.lit(END).cast("long")).otherwise(F.col("r2")))
         .filter("r2 is not null")
     )
@@ -70,7 +70,7 @@ def _intervals(suffixes: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def _ranked(suffixes: DataFrame, by: list[str], label: str) -> DataFrame:
-    intervals = _intervals(suffixes, by, label)
+    intervals = shuffled_if_large(_intervals(suffixes, by, label))
     here = F.struct("dk", "tk", "i")
     return stage(
         suffixes.join(intervals, by).select(

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from billrate.llm import simhash
 from billrate.llm.common import NO_ID, arrow_map, doc_key, slices
 from billrate.llm.components import components
-from billrate.session import broadcast_if_small, stage, temporary
+from billrate.session import broadcast_if_small, shuffled_if_large, stage, temporary
 
 LARGE = 16  # nodes of a component that is a side of its own among the differences of a group
 
@@ -128,7 +128,7 @@ def _ordered(u, v):
 
 def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, params: NearParams) -> DataFrame:
     """The shingle sets (node, set) of the nodes in ``needed``, from one document each."""
-    shown = nodes.join(needed, "node").select("node", F.col("row.dk").alias("dk"), F.col("row.tk").alias("tk"))
+    shown = nodes.join(shuffled_if_large(needed), "node").select("node", F.col("row.dk").alias("dk"), F.col("row.tk").alias("tk"))
 
     def cut(batches):
         for batch in batches:
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, params: NearPara
 
 def verified(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, params: NearParams) -> DataFrame:
     """The pairs (u, v) of nodes whose whole shingle ``sets`` have similarity ``least`` or more."""
-    sizes = nodes.select("node", "size")
+    sizes = shuffled_if_large(nodes.select("node", "size"))
     fit = stage(
         pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
         .filter(F.least("a", "b") >= params.least * F.greatest("a", "b")).select("u", "v"), "near-pairs",
@@ -162,12 +162,13 @@ def verified(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, params: NearPa
                 keep.append(same >= params.least * (len(both) - same))
             yield pa.RecordBatch.from_arrays([cols["u"], cols["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    laid = fit.join(sets.toDF("u", "set"), "u").join(sets.toDF("v", "other"), "v").select("u", "v", "set", "other")
+    laid = shuffled_if_large(fit).join(sets.toDF("u", "set"), "u").join(sets.toDF("v", "other"), "v").select("u", "v", "set", "other")
     return stage(arrow_map(laid, check, "u long, v long"), "near-links")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of nodes that are not in one component; a node without a root is one by itself."""
+    roots = shuffled_if_large(roots)
     of = lambda c: roots.toDF(c, f"r{c}")
     joined = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
     return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
@@ -182,7 +183,8 @@ def _differences(
     """
     r = (1 - params.least) / (1 + params.least)
     of = components(met.select(F.col("node").alias("u"), F.col("leader").alias("v"))).toDF("node", "g")
-    known = met.select("node", "root").distinct().join(of, "node").join(nodes.select("node", "size"), "node")
+    sizes = shuffled_if_large(nodes.select("node", "size"))
+    known = met.select("node", "root").distinct().join(shuffled_if_large(of), "node").join(sizes, "node")
     if sets is None:
         sets = _sets(docs, nodes, met.select("node").distinct(), params)
     held = stage(known.join(sets, "node"), "near-held")
@@ -210,13 +212,14 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
     # What these links have joined is one component from here on.
     joined = near.select("g", "root").distinct().withColumn("one", F.lit(True))
     root = F.when(F.col("one"), F.col("z.root")).otherwise(F.col("root")).alias("root")
-    known = known.join(joined, ["g", "root"], "left")
+    known = known.join(shuffled_if_large(joined), ["g", "root"], "left")
     known = known.select("g", "node", root, "e", "c", "wide", F.col("z.c").alias("low"))
     # Nodes of one component never meet: a large one is a side of its own, all others are one side.
     large = known.groupBy("g", "root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE)
     large = stage(large.select("g", "root", F.col("root").alias("side")), "near-large")
     facts = known.join(large, ["g", "root"], "left").withColumn("side", F.coalesce("side", F.lit(NO_ID)))
 
+    found = shuffled_if_large(found)
     shingle = found.select("g", "node", F.explode("d").alias("x"))
     # Shingles of one node alone are its rarest: they take places but meet nothing.
     often = shingle.groupBy("g", "x").agg(F.count("*").alias("n")).filter("n > 1")
@@ -224,12 +227,12 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
     rest = F.count("*").over(one) - F.row_number().over(one.orderBy("n", "x")) + 1
     # ``room`` is the most that the excess of a partner may be whose first common shingle this is.
     placed = (
-        shingle.join(often, ["g", "x"]).select("g", "node", "x", rest.alias("rest")).join(facts, ["g", "node"])
+        shingle.join(often, ["g", "x"]).select("g", "node", "x", rest.alias("rest")).join(shuffled_if_large(facts), ["g", "node"])
         .withColumn("room", 2 * F.col("rest") + F.lit(2e-6) - F.col("e"))
         .withColumn("reach", F.floor(F.col("room") / F.col("wide"))).filter("reach >= low")
         .select("g", "x", "c", "side", "node", "root", "e", "room", "reach")
     )
-    placed = stage(placed, "near-placed")
+    placed = shuffled_if_large(stage(placed, "near-placed"))
     by_class = placed.groupBy("g", "x", "c", "side").agg(
         F.max("reach").alias("reach"), F.min("root").alias("first"), F.max("root").alias("last")
     )
@@ -242,7 +245,7 @@ def _close(found: DataFrame, params: NearParams) -> DataFrame:
     sent = placed.join(partners, ["g", "x"]).withColumn("p", F.explode(F.filter("partners", meets)))
     both = ["node", "root", "e", "room"]
     to = [F.col("p.c").alias("to"), F.col("p.side").alias("to_side")]
-    sent = stage(sent.select("g", "x", "c", "side", *to, *both), "near-sent")
+    sent = shuffled_if_large(stage(sent.select("g", "x", "c", "side", *to, *both), "near-sent"))
     other = sent.toDF("g", "x", "to", "to_side", "c", "side", *[f"{k}2" for k in both])
     met = (
         sent.join(other, ["g", "x", "c", "side", "to", "to_side"])
@@ -263,7 +266,7 @@ def anchored(nodes: DataFrame) -> DataFrame:
 
     The least node of a fingerprint stands for all that have it.
     """
-    prints = stage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    prints = shuffled_if_large(stage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints"))
     of = lambda c: prints.toDF(c, f"n{c}")
     near = simhash.links(prints).join(of("u"), "u").join(of("v"), "v").select(*_ordered(F.col("nu"), F.col("nv")))
     same = nodes.select("node", "fp").join(prints.toDF("fp", "other"), "fp").filter("node != other")
@@ -275,7 +278,7 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams())
     met = nodes.select("node", F.explode("buckets").alias("bucket"))
     leader = F.min(F.struct(F.xxhash64("node", "bucket").alias("o"), "node")).alias("l")
     led = met.groupBy("bucket").agg(F.count("*").alias("n"), leader).filter("n > 1").select("bucket", F.col("l.node").alias("leader"))
-    members = stage(met.join(led, "bucket"), "near-members")
+    members = stage(shuffled_if_large(met).join(led, "bucket"), "near-members")
     tried = stage(
         members.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count("*").alias("times")), "near-tried"
     )
@@ -290,12 +293,12 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams = NearParams())
     others = tried.select(*_ordered(F.col("node"), F.col("leader"))).distinct()
     others = stage(_apart(others, components(first)).join(chosen, ["u", "v"], "left_anti"), "near-others")
     found = stage(first.unionByName(verified(sets, nodes, others, params)), "near-led")
-    roots = stage(components(found), "near-led-roots")
+    roots = shuffled_if_large(stage(components(found), "near-led-roots"))
 
     split = stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-split")
     torn = split.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
     torn = stage(torn.filter("x < y").select("bucket", "n"), "near-torn")
-    open_ = stage(split.join(torn, "bucket").select("bucket", "node", "leader", "root", "n"), "near-open")
+    open_ = stage(split.join(shuffled_if_large(torn), "bucket").select("bucket", "node", "leader", "root", "n"), "near-open")
     crowded = F.col("n") > params.crowd
     few = open_.filter(~crowded).select("bucket", "node", "root")
     facing = few.join(few.toDF("bucket", "node2", "root2"), "bucket").filter("node < node2 and root != root2")
@@ -316,7 +319,7 @@ def groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     with temporary(docs.sparkSession) as keep:
         roots = keep(components(links(docs, nodes, params)), "near-roots")
     return (
-        marked.select("doc_id", "tk", "node").join(roots, "node", "left")
+        marked.select("doc_id", "tk", "node").join(shuffled_if_large(roots), "node", "left")
         .select("doc_id", "tk", "node", F.coalesce("root", "node").alias("root"))
     )
 
@@ -336,4 +339,4 @@ def keep_one(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     dk, tk = doc_key()
     keyed = docs.select("*", dk.alias("_nd_dk"), tk.alias("_nd_tk"))
     keys = ["_nd_dk", "_nd_tk"]
-    return keyed.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(shuffled_if_large(winners), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
